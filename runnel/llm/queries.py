@@ -91,7 +91,7 @@ sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
 sized AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
-parts AS (SELECT doc_id, unnest(s) AS g FROM sets),
+parts AS (SELECT doc_id, hash(unnest(s)) AS g FROM sets),
 common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM parts a JOIN parts b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (

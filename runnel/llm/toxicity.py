@@ -28,10 +28,10 @@ class Settings:
     prefixes: tuple[int, ...] = (4, 5, 6)
     per_class: int = 1500
     longest: int = 3000
-    rounds: int = 80
-    rate: float = 0.5
-    sparsity: float = 2e-5
-    start: float = -5.0
+    rounds: int = 150
+    rate: float = 0.7
+    sparsity: float = 1e-4
+    start: float = -8.0
 
 
 @dataclass
@@ -53,8 +53,8 @@ class Sentences:
         self.lower[ord("A") : ord("Z") + 1] += 32
 
     def __call__(self, texts: list[str | None]):
-        """(features of each word, sentence of each word, first sentence of each text, first and end byte of words,
-        first byte of texts). Sentences are numbered through all texts; each text has at least one."""
+        """(features of each distinct word of a sentence, its sentence, each sentence's text, first and end byte, the
+        joined texts). Sentences without words are passed over; the others are numbered through all texts."""
         h, offsets, start, end, first, joined = self.hasher.words(texts, places=True)
         data = np.frombuffer(joined, np.uint8)
         stop = np.cumsum(_END[data]) if len(data) else np.empty(0, np.int64)
@@ -62,6 +62,11 @@ class Sentences:
         inner = stop[start] if len(h) else np.empty(0, np.int64)
         new = np.r_[True, (inner[1:] != inner[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.empty(0, bool)
         sentence = np.cumsum(new) - 1
+        left, right = start[new], end[np.r_[new[1:], True]] if len(h) else end
+        owner = doc[new] if len(h) else np.empty(0, np.int64)
+        # a word counts once in a sentence
+        once = np.sort(np.unique(mix(h ^ (sentence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1])
+        h, sentence, start, end = h[once], sentence[once], start[once], end[once]
         top = np.uint64(64 - self.s.bits)
         columns = [mix(h) >> top]
         low = self.lower[data] if len(data) else data
@@ -73,8 +78,7 @@ class Sentences:
                 part = part * np.uint64(0x100000001B3) + low[at + k]
             code[long] = mix(part)
             columns.append(np.where(long, code >> top, columns[0]))
-        owner = doc[new] if len(h) else np.empty(0, np.int64)
-        return np.stack(columns, axis=1).astype(np.int32), sentence, owner, start, end, first, joined
+        return np.stack(columns, axis=1).astype(np.int32), sentence, owner, left, right, joined
 
 
 def _noisy_or(z: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         clean = _noisy_or(z, owner, n)
         p = -np.expm1(clean)
         # d(-log likelihood)/d z_s = sigmoid(z_s) * (1 - y / p)
-        g = weight[owner] * (1 - (y / np.maximum(p, 1e-9))[owner]) / (1 + np.exp(-z))
+        g = weight[owner] * (1 - (y / np.maximum(p, 1e-9))[owner]) / (1 + np.exp(np.minimum(-z, 500)))
         by = np.bincount(flat.ravel(), np.repeat(g[sentence], width), minlength=len(used))
         sum_w += by * by
         step = s.rate / np.sqrt(sum_w)
@@ -182,15 +186,14 @@ def offending_sentences(docs: DataFrame, model: Model, settings: Settings = Sett
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, to in groups(texts):
-                x, sentence, owner, start, end, _, joined = of(texts[at:to])
+                x, sentence, owner, left, right, joined = of(texts[at:to])
                 if not len(owner):
                     continue
                 z = np.bincount(sentence, m.weights[x].sum(axis=1), minlength=len(owner)) + m.bias
-                p = 1 / (1 + np.exp(-z))
+                p = 1 / (1 + np.exp(np.minimum(-z, 500)))
                 bad = np.flatnonzero(p >= threshold)
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                left, right = np.searchsorted(sentence, bad), np.searchsorted(sentence, bad, "right") - 1
-                said = [joined[start[i] : end[j]].decode("utf-8", "replace") for i, j in zip(left, right)]
+                said = [joined[left[i] : right[i]].decode("utf-8", "replace") for i in bad]
                 ids = batch.column(0).slice(at, to - at).take(pa.array(owner[bad]))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(place[bad], pa.int64()), pa.array(p[bad]), pa.array(said, pa.string())], ["doc_id", "sentence", "score", "words"])
 
