@@ -29,7 +29,8 @@ from .core import WHITE, WordHasher, groups, kept, mix, runs
 class Settings:
     """width: words of a shingle. percent: links have 100 * intersection >= percent * union. bands x rows: MinHash
     samples; two texts at 75 percent share a bucket with a probability of 1 - (1 - 0.75**4)**32, over 0.99999.
-    sketch_words: 64-bit words of the odd sketch. sigmas: pairs leave when their sketches put them so many standard
+    sketch_samples, sketch_words: MinHash samples and
+    64-bit words of the odd sketch. sigmas: pairs leave when their sketches put them so many standard
     errors under the threshold. block: members of a bucket that a task compares with as many others. broadcast_ids: up to so many ids of
     documents with company in a bucket (8 MB) go to all executors to pick their texts; more are joined by a shuffle."""
 
@@ -37,7 +38,8 @@ class Settings:
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    sketch_words: int = 16
+    sketch_samples: int = 512
+    sketch_words: int = 32
     sigmas: float = 4.5
     block: int = 1024
     broadcast_ids: int = 1_000_000
@@ -49,9 +51,9 @@ class Settings:
     def differing_bits(self) -> int:
         """The most bits in which the sketches of a linked pair may differ."""
         j = self.percent / 100
-        low = max(0.0, j - self.sigmas * math.sqrt(j * (1 - j) / self.samples))
+        low = max(0.0, j - self.sigmas * math.sqrt(j * (1 - j) / self.sketch_samples))
         bits = 64 * self.sketch_words
-        expected = bits / 2 * (1 - math.exp(-4 * self.samples * (1 - low) / bits))
+        expected = bits / 2 * (1 - math.exp(-4 * self.sketch_samples * (1 - low) / bits))
         return math.ceil(expected)
 
 
@@ -73,25 +75,25 @@ class Signer:
     def __init__(self, s: Settings):
         self.s = s
         rng = np.random.default_rng(20_250_101)
-        self.factor = rng.integers(1, 2**62, s.samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.shift = rng.integers(1, 2**62, s.samples, dtype=np.uint64)
-        self.place = np.arange(s.samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-    def samples(self, shingles: np.ndarray) -> np.ndarray:
-        out = np.full(self.s.samples, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(shingles), 2048):
-            part = np.multiply.outer(self.factor, shingles[at : at + 2048])
+        self.factor = rng.integers(1, 2**62, max(s.samples, s.sketch_samples), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.place = np.arange(s.sketch_samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def samples(self, shingles: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(shingles), 1024):
+            part = np.multiply.outer(self.factor[:n], shingles[at : at + 1024])
             np.minimum(out, part.min(axis=1), out=out)
         return out
 
-    def buckets(self, samples: np.ndarray) -> np.ndarray:
-        parts = samples.reshape(self.s.bands, self.s.rows)
+    def buckets(self, shingles: np.ndarray) -> np.ndarray:
+        parts = self.samples(shingles, self.s.samples).reshape(self.s.bands, self.s.rows)
         out = np.arange(self.s.bands, dtype=np.uint64)
         for k in range(self.s.rows):
             out = mix(out ^ parts[:, k])
         return out.view(np.int64)
 
-    def sketch(self, samples: np.ndarray) -> np.ndarray:
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        samples = self.samples(shingles, self.s.sketch_samples)
         bits = (mix(samples + self.place) % np.uint64(64 * self.s.sketch_words)).astype(np.int64)
         odd = np.bincount(bits, minlength=64 * self.s.sketch_words) & 1
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -103,41 +105,40 @@ def _flat_lists(rows: list[np.ndarray], width: int, kind=np.int64) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """(id, n, print, buckets, sketch) of each row; print identifies the shingle set; empty sets have empty arrays."""
+    """(id, n, print, buckets) of each row; print identifies the shingle set; empty sets have empty arrays."""
 
     def sign(batches):
         hasher, signer = WordHasher(WHITE), Signer(s)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, to in groups(texts):
-                n, prints, buckets, sketches = [], [], [], []
+                n, prints, buckets = [], [], []
                 for shingles in shingle_sets(texts[at:to], hasher, s.width):
                     n.append(len(shingles))
                     prints.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-                    samples = signer.samples(shingles)
-                    buckets.append(signer.buckets(samples))
-                    sketches.append(signer.sketch(samples))
+                    buckets.append(signer.buckets(shingles))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, to - at), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _flat_lists(buckets, s.bands), _flat_lists(sketches, s.sketch_words)],
-                    ["id", "n", "print", "buckets", "sketch"],
+                    [ids.slice(at, to - at), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), _flat_lists(buckets, s.bands)],
+                    ["id", "n", "print", "buckets"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, n bigint, print binary, buckets array<bigint>, sketch array<bigint>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, f"id {kind}, n bigint, print binary, buckets array<bigint>")
 
 
 def full_sets(docs: DataFrame, s: Settings) -> DataFrame:
-    """(id, shingles) of docs (id, text): the shingle hashes, sorted, as little-endian bytes."""
+    """(id, sketch, shingles) of docs (id, text); shingles are the hashes, sorted, as little-endian bytes."""
 
     def sets(batches):
-        hasher = WordHasher(WHITE)
+        hasher, signer = WordHasher(WHITE), Signer(s)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, to in groups(texts):
-                got = [x.tobytes() for x in shingle_sets(texts[at:to], hasher, s.width)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), pa.array(got, pa.binary())], ["id", "shingles"])
+                got = list(shingle_sets(texts[at:to], hasher, s.width))
+                sketches = _flat_lists([signer.sketch(x) for x in got], s.sketch_words)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, to - at), sketches, pa.array([x.tobytes() for x in got], pa.binary())], ["id", "sketch", "shingles"])
 
-    return docs.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, shingles binary")
+    return docs.mapInArrow(sets, f"id {docs.schema['id'].dataType.simpleString()}, sketch array<bigint>, shingles binary")
 
 
 def _bits_apart(a: str, b: str):
@@ -173,7 +174,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, s: Setting
 
 def _across(members: DataFrame, s: Settings, best: int | None) -> DataFrame:
     """Pairs of members (bucket, id, n, component, sketch) of one bucket and different components whose sketches pass;
-    with best, the so many closest of each two components. Large buckets are compared block by block."""
+    with best, each member's so many closest. Large buckets are compared block by block."""
     size = members.groupBy("bucket").agg(F.count("*").alias("size")).select("bucket", F.ceil(F.col("size") / s.block).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
@@ -210,12 +211,12 @@ def _across(members: DataFrame, s: Settings, best: int | None) -> DataFrame:
         else:
             u = v = apart = np.empty(0, np.int64)
         if best is not None and len(u):
-            low, high = np.minimum(component[u], component[v]), np.maximum(component[u], component[v])
-            order = np.lexsort((ids[v], ids[u], apart, high, low))
-            low, high = low[order], high[order]
-            new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-            rank = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
-            u, v = u[order][rank < best], v[order][rank < best]
+            one, two = np.r_[u, v], np.r_[v, u]
+            order = np.lexsort((ids[two], np.r_[apart, apart], one))
+            one, two = one[order], two[order]
+            new = np.flatnonzero(np.r_[True, one[1:] != one[:-1]])
+            rank = np.arange(len(one)) - np.repeat(new, np.diff(np.r_[new, len(one)]))
+            u, v = one[rank < best], two[rank < best]
         a, b = np.minimum(ids[u], ids[v]), np.maximum(ids[u], ids[v])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -239,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = sign.where("n > 0 and id is not null")
     classes = named.groupBy("print").agg(F.min("id").alias("class"))
     member = named.select("id", "print").join(classes, "print").select("id", "class")
-    reps = sign.join(classes.select(F.col("class").alias("id"), "print"), ["id", "print"], "left_semi").select("id", "n", "buckets", "sketch")
+    reps = sign.join(classes.select(F.col("class").alias("id"), "print"), ["id", "print"], "left_semi").select("id", "n", "buckets")
     repeated = named.groupBy("id").count().where("count > 1").limit(1).count() > 0
     if repeated:
         reps = reps.dropDuplicates(["id", "buckets"])
@@ -256,15 +257,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = kept(members.select("id").distinct())
     if ids.count() <= s.broadcast_ids:
         ids = F.broadcast(ids)
-    sketches = kept(reps.join(ids, "id", "left_semi").select("id", "sketch"))
     compared = docs.join(ids, "id", "left_semi")
     sets = kept(full_sets(compared.dropDuplicates(["id", "text"]) if repeated else compared, s))
 
+    sketches = sets.select("id", "sketch")
+
     # rows of one document that have different texts are in different classes
     several = member.where("id != class").select(F.col("id").alias("a"), F.col("class").alias("b"))
     tested = kept(at_pivot)
     links = kept(confirmed(tested, sketches, sets, s))
-    for best in (4, None):
+    for best in (1, None):
         found = connected_components(links)
         split = members.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = split.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
