@@ -98,7 +98,7 @@ def checks(schema, x: Column, path: str = "$", where: str = "#", root=None) -> l
     if "maxItems" in schema:
         rule(F.size(items) > schema["maxItems"], f"maxItems {schema['maxItems']}", "maxItems")
     if schema.get("uniqueItems"):
-        texts = F.transform(items, F.to_json)
+        texts = F.transform(items, lambda e: F.to_json(e))
         rule(F.size(F.array_distinct(texts)) < F.size(texts), "items are not unique", "uniqueItems")
     if isinstance(schema.get("items"), (dict, bool)):
         rule(F.exists(items, lambda e: ~valid(schema["items"], e, root)), "an item does not match", "items")
