@@ -23,6 +23,9 @@ class _LastKept(StatefulProcessor):
         self.last = handle.getValueState("last", "micros bigint")
 
     def handleInputRows(self, key, rows, timerValues):
+        if any(k is None or k == "" or k != k for k in key):
+            yield from rows
+            return
         batch = pd.concat(list(rows)).sort_values([self.ts, self.sequence])
         last = pd.Timestamp(self.last.get()[0], unit="us") if self.last.exists() else None
         keep = []
@@ -39,7 +42,13 @@ class _LastKept(StatefulProcessor):
 
 def dedup_stream(records: DataFrame, key: list[str], hours: int = DEDUP_HOURS, ts: str = "_ingested_at", sequence: str = "_sequence") -> DataFrame:
     """The streaming form of operators.ingest.dedup; needs the RocksDB state store. State lasts as long as the query."""
-    return records.groupBy(*key).transformWithStateInPandas(_LastKept(hours, ts, sequence), outputStructType=records.schema, outputMode="Append", timeMode="None")
+    # rows come to the processor by way of named tuples, whose fields must not begin with an underscore
+    plain = {c: f"c{k}" for k, c in enumerate(records.columns)}
+    renamed = records.withColumnsRenamed(plain)
+    kept = renamed.groupBy(*[plain[k] for k in key]).transformWithStateInPandas(
+        _LastKept(hours, plain[ts], plain[sequence]), outputStructType=renamed.schema, outputMode="Append", timeMode="None"
+    )
+    return kept.withColumnsRenamed({v: k for k, v in plain.items()})
 
 
 def replay_then_tail(records: DataFrame, start: datetime | None = None, start_sequence: int | None = None, live_from: datetime | None = None) -> DataFrame:
