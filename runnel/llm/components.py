@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import kept
+from .core import kept, release
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -45,6 +45,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if state == seen:
             break
         seen = state
+        del both, large, least, small
+        release(links.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # at rest every edge runs from a node to its component's least node

@@ -7,6 +7,7 @@ over words.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -160,6 +161,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle and checkpoint files of data that nothing refers to any more. The cleaner learns
+    of such data when the driver collects its garbage, which iterative jobs with a small heap seldom make it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
