@@ -16,6 +16,7 @@ in 2 or 4 bytes each. A lookup reads footer, filter and index, searches the inde
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import struct
 import uuid
@@ -45,7 +46,7 @@ class Settings:
     end_id: int = 2
     block_bytes: int = 1 << 16
     shard_bytes: int = 1 << 26
-    cached: int = 300_000
+    cached: int = 100_000
 
 
 # ---------------------------------------------------------------- encoding
@@ -60,9 +61,15 @@ class Encoder:
 
     Such a tokenizer cuts text where white space follows other characters and encodes what is between on its own, so each
     distinct piece is encoded once and its ids are reused. Texts for which that might not hold are encoded whole.
+
+    Pieces are encoded a few thousand at a time: the library's encodings are many times larger than the ids in them. It
+    uses one thread, as tasks already use all cores, and threads hold memory of their own.
     """
 
+    at_once = 4096
+
     def __init__(self, path: str, cached: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cached
@@ -75,11 +82,13 @@ class Encoder:
         self.ids, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, n.sum())
-        self.ids = np.concatenate([self.ids, flat])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        ids, lengths = [self.ids], []
+        for at in range(0, len(pieces), self.at_once):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + self.at_once], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            ids.append(np.fromiter((i for own in got for i in own), np.uint32, lengths[-1].sum()))
+        self.ids = np.concatenate(ids)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
