@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import groups, kept, mix
+from .core import kept, mix
 
 MAGIC = b"RNLSST01"
 FOOTER, INDEX = "<QQQQQQII8s", "<13sQIIIQ"
@@ -41,29 +42,44 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 @dataclass(frozen=True)
 class Settings:
     """block_bytes and shard_bytes: a block or shard is closed once it holds so many bytes of values (before
-    compression). end_id is added to each document. cached: distinct pieces of text whose ids a task remembers."""
+    compression). end_id is added to each document. cached: about how many distinct pieces of text a
+    worker remembers the ids of."""
 
     end_id: int = 2
     block_bytes: int = 1 << 16
     shard_bytes: int = 1 << 26
-    cached: int = 300_000
+    cached: int = 500_000
 
 
 # ---------------------------------------------------------------- encoding
 
-_PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-#: White space outside ASCII may run on into ASCII white space, so such texts are not cut.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Classes of bytes: blanks, other ASCII white space, letters, digits, other ASCII, apostrophes, bytes beyond ASCII.
+_BLANK, _WHITE, _LETTER, _DIGIT, _OTHER, _QUOTE, _BEYOND = range(7)
+_CLASS = np.full(256, _OTHER, np.uint8)
+for _low, _high, _class in ((9, 13, _WHITE), (32, 32, _BLANK), (39, 39, _QUOTE), (48, 57, _DIGIT), (65, 90, _LETTER), (97, 122, _LETTER), (128, 255, _BEYOND)):
+    _CLASS[_low : _high + 1] = _class
+#: Whether the tokenizer always cuts between bytes of two classes, by 8 * first + second. It may join an apostrophe with
+#: letters after it, a blank with anything, and what letters beyond ASCII do is left to it.
+_CUTS = np.zeros(64, bool)
+for _class, _after in (
+    (_WHITE, (_LETTER, _DIGIT, _OTHER, _QUOTE, _BEYOND)), (_LETTER, (_BLANK, _WHITE, _DIGIT, _OTHER, _QUOTE)), (_DIGIT, (_BLANK, _WHITE, _LETTER, _OTHER, _QUOTE)),
+    (_OTHER, (_BLANK, _WHITE, _LETTER, _DIGIT)), (_QUOTE, (_BLANK, _WHITE, _DIGIT)), (_BEYOND, (_BLANK, _WHITE)),
+):
+    _CUTS[[8 * _class + k for k in _after]] = True
+#: What is white space for some libraries only, or outside ASCII, may run on into ASCII white space; such texts are not cut.
+_OTHER_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PLAIN = re.compile(r" ?[^ \t\n\r\f\v]+")
 
 
 class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
-    Such a tokenizer cuts text where white space follows other characters and encodes what is between on its own, so each
-    distinct piece is encoded once and its ids are reused. Texts for which that might not hold are encoded whole.
+    Such a tokenizer first cuts text where the class of characters changes and encodes what is between on its own, so each
+    distinct piece is encoded once and its ids are reused. Texts for which that might not hold are encoded whole. Pieces
+    are cut and looked up as Arrow arrays over the bytes of many texts; only pieces not seen before become strings.
 
-    Pieces are encoded a few thousand at a time: the library's encodings are many times larger than the ids in them. It
-    uses one thread, as tasks already use all cores, and threads hold memory of their own.
+    New pieces are encoded a few thousand at a time, joined by line ends, whose ids then part them: the library's encodings
+    are many times larger than the ids in them. It uses one thread, as tasks already use all cores.
     """
 
     at_once = 4096
@@ -74,46 +90,96 @@ class Encoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), cached
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self._forget()
+        self.whole = re.compile(b"|".join(re.escape(x.encode()) for x in [*_OTHER_SPACE, *added]))
+        (self.line_end,) = self._ids("\n")
+        self.place: dict[str, int] = {}
+        self.ids, self.first, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _gather(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces, and their number before each piece and at the end."""
+        n = self.first[own + 1] - self.first[own]
+        before = np.append(0, np.cumsum(n))
+        return self.ids[np.repeat(self.first[own] - before[:-1], n) + np.arange(before[-1])], before
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """Keeps the pieces that were used again since the last time, unless they are most."""
+        again = np.flatnonzero(self.used > 1)
+        if 2 * len(again) > self.limit:
+            again = again[:0]
+        names = list(self.place)
+        self.place = {names[k]: n for n, k in enumerate(again.tolist())}
+        (self.ids, self.first), self.used = self._gather(again), np.zeros(len(again), np.int32)
 
     def _learn(self, pieces: list[str]) -> None:
+        plain, other = [], []
+        for p in pieces:
+            (plain if _PLAIN.fullmatch(p) else other).append(p)
         ids, lengths = [self.ids], []
-        for at in range(0, len(pieces), self.at_once):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + self.at_once], add_special_tokens=False)]
-            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
-            ids.append(np.fromiter((i for own in got for i in own), np.uint32, lengths[-1].sum()))
+        for at in range(0, len(plain), self.at_once):
+            some = plain[at : at + self.at_once]
+            got = np.array(self._ids("\n".join(some)), np.uint32)
+            ends = np.append(np.flatnonzero(got == self.line_end), len(got))
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not cut at line ends")
+            ids.append(got[got != self.line_end])
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+        for p in other:
+            ids.append(np.array(self._ids(p), np.uint32))
+            lengths.append(np.array([len(ids[-1])]))
+        self.place.update(zip(plain + other, range(len(self.place), len(self.place) + len(pieces))))
+        self.used = np.append(self.used, np.zeros(len(pieces), np.int32))
         self.ids = np.concatenate(ids)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(lengths))])
 
-    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        if len(self.place) > self.limit:
-            self._forget()
-        place, new, cut = self.place, [], []
-        for text in texts:
-            if _OTHER_SPACE.search(text) or (self.special and self.special.search(text)):
-                cut.append(None)
-                continue
-            pieces = _PIECE.findall(text)
-            for p in set(pieces).difference(place):
-                place[p] = len(place)
-                new.append(p)
-            cut.append(np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces)))
-        if new:
-            self._learn(new)
-        for text, own in zip(texts, cut):
-            if own is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-                continue
-            first = self.first[own]
-            n = self.first[own + 1] - first
-            at = np.cumsum(n) - n
-            yield self.ids[np.repeat(first - at, n) + np.arange(n.sum())]
+    def _pieces(self, data: np.ndarray, first: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cuts texts that begin at `first`. For `step` pieces at a time: first byte of each, number of ids before each (both
+        with the end of the last), ids."""
+        kinds = _CLASS[data]
+        cut = np.append(True, _CUTS[kinds[:-1] * np.uint8(8) + kinds[1:]])
+        cut[2:][(kinds[:-2] <= _WHITE) & (kinds[1:-1] == _WHITE)] = False  # the last of a run of white space is parted from the others
+        cut[first[:-1][first[:-1] < len(data)]] = True
+        start = np.append(np.flatnonzero(cut), len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(start) - 1, pa.py_buffer(start), pa.py_buffer(data))
+        for at in range(0, len(pieces), step):
+            coded = pieces.slice(at, step).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(self.place) > self.limit:
+                self._forget()
+            if new := [p for p in distinct if p not in self.place]:
+                self._learn(new)
+            known = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+            self.used[known] += 1
+            ids, before = self._gather(known[coded.indices.to_numpy()])
+            yield start[at : at + step + 1], before, ids
+
+    def __call__(self, texts: pa.StringArray, step: int = 1 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text; step pieces are held as arrays at a time."""
+        texts = texts.fill_null("")
+        _, offsets, content = texts.buffers()
+        first = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(content or b"", np.uint8)[first[0] : first[-1]]
+        first = first - first[0]
+        whole = sorted({int(np.searchsorted(first, m.start(), "right")) - 1 for m in self.whole.finditer(data)})
+        if whole:
+            cut = texts.to_pandas()
+            apart = {k: self._ids(cut.iat[k]) for k in whole}
+            cut.iloc[whole] = ""
+            for k, ids in enumerate(self(pa.array(cut, pa.string()), step)):
+                yield np.array(apart[k], np.uint32) if k in apart else ids
+            return
+        parts, k = [], 0
+        for start, before, ids in self._pieces(data, first, step) if len(data) else ():
+            at = 0
+            while k < len(texts) and first[k + 1] <= start[-1]:
+                to = int(before[np.searchsorted(start, first[k + 1])])
+                yield np.concatenate([*parts, ids[at:to]])
+                parts, at, k = [], to, k + 1
+            parts.append(ids[at:])
+        for _ in range(k, len(texts)):
+            yield np.empty(0, np.uint32)
 
 
 # ---------------------------------------------------------------- the format
@@ -253,6 +319,16 @@ class Shard:
 
 # ---------------------------------------------------------------- Spark
 
+def spans(texts: pa.StringArray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Cuts a batch into stretches of about `limit` bytes; a longer text stands alone."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    at = 0
+    while at < len(end):
+        to = int(np.searchsorted(end, (end[at - 1] if at else 0) + limit, "right"))
+        yield at, max(to, at + 1)
+        at = max(to, at + 1)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes docs and writes shards to folder, which driver and executors share. Returns the manifest, a row for each
     shard: (shard, first_key, entries, tokens, start). start is the number of token ids in all shards before it.
@@ -262,15 +338,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, settings: Setting
     first; repeated rows are all kept. Of an empty table the manifest has no rows.
     """
     s = settings
+    own = docs.sparkSession.sparkContext.broadcast({})  # each Python worker has a copy, which holds its encoder from task to task
 
     def write(batches):
-        encode, shard, held, last, ordinal, done = None, None, 0, (), 0, []
+        shard, held, last, ordinal, done = None, 0, (), 0, []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            encode = encode or Encoder(tokenizer, s.cached)
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.string())
+            encode = own.value.get("encoder")
+            if not encode:
+                encode = own.value["encoder"] = Encoder(tokenizer, s.cached)
             width = 2 if max(encode.tokenizer.get_vocab_size(), s.end_id + 1) <= 1 << 16 else 4
-            for at, to in groups(texts):
-                for doc_id, tokens in zip(ids[at:to], encode(texts[at:to])):
+            for at, to in spans(texts):
+                for doc_id, tokens in zip(ids[at:to], encode(texts.slice(at, to - at))):
                     ordinal = ordinal + 1 if last == (doc_id,) else 0
                     last = (doc_id,)
                     if shard and held >= s.shard_bytes:

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from brute import token_rows
 
@@ -53,3 +56,14 @@ def test_edges(spark, path):
     assert rows_of(written(spark, [], path)[2]) == []
     _, _, got = written(spark, [(1, "x", "y", 3)], path, schema="doc_id bigint, text string, start string, key int")
     assert rows_of(got) == token_rows([(1, "x")], tok)
+
+
+@pytest.mark.parametrize("step", [5, 1 << 20])
+def test_cut_texts_have_the_ids_of_whole_texts(path, step):
+    parts = ["a", "B", " ", "  ", "\n", "\t", "\r", "1", "42", ".", ",", "'", "'s", "'ll", "don't", "é", "ß", "“", " ", " ", "　", "\x1c", "\x00", "中", "²", "٣", "$", "<|endoftext|>", "́", "😀", "_", "-"]
+    draw = random.Random(11)
+    texts = ["".join(draw.choices(parts[: draw.choice((18, len(parts)))], k=draw.randint(0, 30))) for _ in range(3000)] + [None, "", "x" * 3000]
+    encode = token_shards.Encoder(path, 500)
+    got = [list(ids) for ids in encode(pa.array(texts, pa.string()), step)]
+    assert got == [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(encode(pa.array([], pa.string()))) == []
