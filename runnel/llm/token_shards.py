@@ -48,7 +48,7 @@ class Settings:
     end_id: int = 2
     block_bytes: int = 1 << 16
     shard_bytes: int = 1 << 26
-    cached: int = 500_000
+    cached: int = 300_000
 
 
 # ---------------------------------------------------------------- encoding
@@ -319,7 +319,7 @@ class Shard:
 
 # ---------------------------------------------------------------- Spark
 
-def spans(texts: pa.StringArray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def spans(texts: pa.StringArray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Cuts a batch into stretches of about `limit` bytes; a longer text stands alone."""
     end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     at = 0
