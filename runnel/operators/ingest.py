@@ -81,3 +81,18 @@ def import_lines(lines: DataFrame, line: str, text: str) -> tuple[DataFrame, Dat
     )
     records = rows.drop("_bad").join(F.broadcast(verdict.where("status = 'COMPLETED'").select("status")), F.lit(True)).drop("status")
     return records, verdict
+
+
+def import_jobs(lines: DataFrame, job: str, line: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """import_lines for many jobs at once: the column job tells each line's. (records (job, line_number, payload),
+    verdicts): one bad line fails its own job only. A verdict is a row of job, processed, succeeded, failed, status,
+    error_line; a job of blank lines only has none."""
+    rows = lines.select(F.col(job).alias("job"), F.col(line).cast("bigint").alias("line_number"), F.trim(text).alias("payload")).where("payload != ''")
+    rows = rows.withColumn("_bad", V.parse(F.col("payload")).isNull() | (F.octet_length("payload") > MAX_PAYLOAD_BYTES))
+    total = rows.groupBy("job").agg(F.count("*").alias("processed"), F.max("_bad").alias("bad"), F.min(F.when(F.col("_bad"), F.col("line_number"))).alias("error_line"))
+    verdict = total.select(
+        "job", "processed", F.when(F.col("bad"), 0).otherwise(F.col("processed")).cast("bigint").alias("succeeded"), F.when(F.col("bad"), F.col("processed")).otherwise(0).cast("bigint").alias("failed"),
+        F.when(F.col("bad"), "FAILED").otherwise("COMPLETED").alias("status"), "error_line",
+    )
+    failed = verdict.where("status = 'FAILED'").select(F.col("job").alias("_job"))
+    return rows.drop("_bad").join(failed, F.col("job").eqNullSafe(F.col("_job")), "left_anti"), verdict

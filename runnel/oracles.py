@@ -113,6 +113,10 @@ ORACLE_SQL: dict[str, str] = {
     "latest_gauge": "SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1",
     "health_rollup": "SELECT CASE WHEN bool_or(s_suppkey % 7 = 0) THEN 'degraded' ELSE 'healthy' END AS status FROM supplier",
     "batch_jsonl_import": "SELECT * FROM (VALUES (1, 300::BIGINT, 300::BIGINT, 0::BIGINT, 'COMPLETED', NULL::BIGINT, 300::BIGINT), (2, 100, 0, 100, 'FAILED', 77, 0)) t(job, processed, succeeded, failed, status, error_line, let_through)",
+    "batch_jsonl_import_daily": """WITH l AS (SELECT ts::DATE AS job, event_id + 1 AS n, day(ts) % 2 = 1 AND (event_id + 1) % 77 = 0 AS bad FROM events),
+      v AS (SELECT job, count(*) AS processed, count(*) FILTER (bad) AS n_bad, min(n) FILTER (bad) AS error_line FROM l GROUP BY 1)
+      SELECT job, processed, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS succeeded, CASE WHEN n_bad = 0 THEN 0 ELSE processed END AS failed, CASE WHEN n_bad = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+        error_line, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS let_through FROM v""",
     "lifecycle_transitions": "SELECT * FROM " + _values([(a, b, b in _STATES[a]) for a in _STATES for b in _STATES]) + " t(state, next, allowed)",
     "rbac_matrix": "SELECT * FROM " + _values([(r, a, _ROLES[r] >= n) for r in _ROLES for a, n in _ACTIONS.items()]) + " t(role, action, allowed)",
     "name_validation": "SELECT name, regexp_full_match(name, '[a-z][a-z0-9-]{2,62}') AS is_name, name = '' OR regexp_full_match(name, '[a-z][a-z0-9-]{0,62}') AS is_namespace, regexp_full_match(name, '[^.]+(\\.[^.]+)*') AS is_path FROM "

@@ -346,6 +346,16 @@ def batch_jsonl_import(spark, d):
     return both.join(let, "job", "left").select("job", "processed", "succeeded", "failed", "status", "error_line", F.coalesce("let_through", F.lit(0)).alias("let_through"))
 
 
+def batch_jsonl_import_daily(spark, d):
+    """All events as JSON Lines, every day a job of its own; on odd days each line whose number 77 divides is broken."""
+    e = event_records(spark, d).withColumn("job", F.to_date("_ingested_at"))
+    broken = (F.dayofmonth("job") % 2 == 1) & (F.col("_sequence") % 77 == 0)
+    records, verdict = ingest.import_jobs(e.withColumn("payload", F.when(broken, "{oops").otherwise(F.col("payload"))), "job", "_sequence", "payload")
+    let = records.groupBy(F.col("job").alias("_job")).agg(F.count("*").alias("let_through"))
+    both = verdict.join(let, F.col("job").eqNullSafe(F.col("_job")), "left")
+    return both.select("job", "processed", "succeeded", "failed", "status", "error_line", F.coalesce("let_through", F.lit(0)).alias("let_through"))
+
+
 def lifecycle_transitions(spark, d):
     states = spark.createDataFrame([(s,) for s in control.TRANSITIONS], "state string")
     pairs = states.join(states.withColumnRenamed("state", "next"))
@@ -382,7 +392,7 @@ QUERIES = {
         coerce_on_error_null, coerce_on_error_default, ts_norm_seconds, ts_norm_millis, ts_norm_micros, ts_norm_iso, ts_norm_default_order, pipeline_good, pipeline_dlq, pipeline_counts,
         validate_ok, validate_errors_by_path, schema_fingerprint, schema_latest_version, dedup_24h, assign_sequence, rate_limit_fixed_window, backpressure_levels, message_checks,
         daily_stats, partition_manifest, compaction_candidates, retention_time, retention_size, orphans, upsert_additive, upsert_replace, metric_counters, histogram_value, histogram_quantile,
-        alert_error_ratio, alert_no_traffic, alert_rate_threshold, alert_hold_for, latest_gauge, health_rollup, batch_jsonl_import, lifecycle_transitions, rbac_matrix, name_validation,
+        alert_error_ratio, alert_no_traffic, alert_rate_threshold, alert_hold_for, latest_gauge, health_rollup, batch_jsonl_import, batch_jsonl_import_daily, lifecycle_transitions, rbac_matrix, name_validation,
         catalog_listing, payload_checksums,
     )
 }

@@ -203,6 +203,14 @@ def test_import_is_all_or_nothing(spark, tmp_path):
         assert rows.count() == n and v.status == status and v.error_line == (None if n else 2)
 
 
+def test_import_jobs_fail_one_by_one_at_any_line(spark):
+    rows = [(k, "a" if k % 2 else "b", "{oops" if k in (901, 1903) else '{"a":1}') for k in range(1, 2001)] + [(1, None, "3"), (2, None, " ")]
+    records, verdict = ingest.import_jobs(spark.createDataFrame(rows, "n bigint, day string, text string"), "day", "n", "text")
+    got = {r.job: (r.processed, r.succeeded, r.failed, r.status, r.error_line) for r in verdict.collect()}
+    assert got == {"a": (1000, 0, 1000, "FAILED", 901), "b": (1000, 1000, 0, "COMPLETED", None), None: (1, 1, 0, "COMPLETED", None)}
+    assert {r.job: r["count"] for r in records.groupBy("job").count().collect()} == {"b": 1000, None: 1}
+
+
 def test_other_imports(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "a int, b string").write.parquet(str(tmp_path / "p"))
     (tmp_path / "c.csv").write_text("a,b\n1,x\n")
