@@ -2,9 +2,10 @@
 
 A vector is approximated by the sum of one word of each of several full-dimensional codebooks, fitted one on the
 residuals of the other; beam search picks the words. With the norm of the sum stored, the cosine with a query needs one
-table lookup a codebook. The best by that score are then scored again with the original vectors.
+table lookup a codebook. The best by that score are then scored again with the original vectors, and with them every row that
+can still be among the nearest: the distance of the sum from the vector, which is stored too, bounds what the score hides.
 
-The index is a table (id, codes, norm, vector) in the order of the input's partitions. Queries come in blocks of bounded
+The index is a table (id, codes, norm, miss, vector) in the order of the input's partitions. Queries come in blocks of bounded
 size; every task scores a block against its own rows and passes on the few best of each query.
 """
 
@@ -23,7 +24,7 @@ from .core import kept
 @dataclass(frozen=True)
 class Settings:
     """books codebooks of words words; beam: partial sums that encoding follows. sample: vectors that the codebooks are
-    fitted on, drawn by a hash of the id. rerank: candidates of each task and query that are scored exactly. block:
+    fitted on, drawn by a hash of the id. rerank: candidates of each slice and query that are scored exactly first. block:
     queries that are sent out together."""
 
     books: int = 8
@@ -109,11 +110,12 @@ def build_index(rows: DataFrame, dims: int, s: Settings) -> tuple[DataFrame, np.
             codes = encode(x, books, s.beam)
             total = books[np.arange(len(books)), codes.astype(np.int64)].sum(axis=1)
             norm = np.sqrt((total * total).sum(axis=1))
+            miss = np.sqrt(((x - total) ** 2).sum(axis=1))
             flat = pa.array(codes.astype(np.int16).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(books)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(norm.astype(np.float32)), batch.column(1)], ["id", "codes", "norm", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(norm.astype(np.float32)), pa.array(miss.astype(np.float32)), batch.column(1)], ["id", "codes", "norm", "miss", "vector"])
 
-    return kept(rows.mapInArrow(index, f"id bigint, codes array<smallint>, norm float, vector {rows.schema['vector'].dataType.simpleString()}")), books
+    return kept(rows.mapInArrow(index, f"id bigint, codes array<smallint>, norm float, miss float, vector {rows.schema['vector'].dataType.simpleString()}")), books
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,11 +129,32 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _best_of_task(q_ids, q, books, k: int, s: Settings):
-    """A function of the batches of an index that gives each query's k best rows of the task."""
+    """A function of the batches of an index that gives each query's k best rows of the task.
+
+    The best by approximate score are scored exactly first. A cosine is at most the product with the sum of words plus
+    the sum's distance from the unit vector, so then all rows that may still reach the k-th exact score are scored too:
+    by products in double precision, and where these come within rounding of the k-th score, by cosine()."""
 
     def search(batches):
-        best: list[tuple[np.ndarray, ...]] = []
-        tables = np.einsum("qd,akd->aqk", unit(q).astype(np.float32), books, optimize=True)
+        asked = unit(q)
+        tables = np.einsum("qd,akd->aqk", asked.astype(np.float32), books, optimize=True)
+        slack = 2.0**-22 * (q.shape[1] + len(books)) * (1 + np.sqrt((books * books).sum(axis=2)).max(axis=1).sum())
+        near_by = 8 * (q.shape[1] + 8) * np.finfo(np.float64).eps
+        best = {at: (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)) for at in range(0, len(q), 128)}
+
+        def add(first, floor, row, col, ids, vectors):
+            """Puts the pairs among the best of their block and brings floor, the k-th score of each query, up to date."""
+            real = ids[col] != q_ids[first + row]
+            row, col = row[real], col[real]
+            for at in range(0, len(row), 65536):
+                r, c = row[at : at + 65536], col[at : at + 65536]
+                exact = cosine(q[first + r], vectors[c])
+                best[first] = _top(*(np.concatenate(x) for x in zip(best[first], (first + r, ids[c], exact))), k)
+            full = np.bincount(best[first][0] - first, minlength=len(floor)) == k
+            lowest = np.full(len(floor), np.inf)
+            np.minimum.at(lowest, best[first][0] - first, best[first][2])
+            floor[full] = lowest[full]
+
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
@@ -143,31 +166,42 @@ def _best_of_task(q_ids, q, books, k: int, s: Settings):
                 rank = np.arange(len(order)) - np.repeat(new, np.diff(np.r_[new, len(order)]))
                 pick = np.sort(order[rank <= k])
                 ids, vectors = ids[pick], vectors[pick]
+                units, single = unit(vectors), len(np.unique(ids)) == len(ids)
                 codes = np.asarray(part.column("codes").flatten()).reshape(-1, len(books))[pick].astype(np.int64)
                 norm = np.maximum(part.column("norm").to_numpy()[pick], 1e-12)
+                miss = part.column("miss").to_numpy()[pick] + np.float32(slack)
                 n = min(s.rerank, len(ids))
-                for first in range(0, len(q), 128):
+                for first in best:
                     score = tables[0, first : first + 128][:, codes[:, 0]]
                     for a in range(1, len(books)):
                         score = score + tables[a, first : first + 128][:, codes[:, a]]
-                    score /= norm
                     own = q_ids[first : first + 128]
-                    near = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    row, col = np.repeat(np.arange(len(own)), n), near.ravel()
-                    real = ids[col] != own[row]
-                    row, col = row[real], col[real]
-                    exact = cosine(q[first : first + 128][row], vectors[col])
-                    best.append((row + first, ids[col], exact))
-                if len(best) > 64 or at + 8192 >= batch.num_rows:
-                    best = [_top(*(np.concatenate(x) for x in zip(*best)), k)]
-        if best:
-            row, ids, score = _top(*(np.concatenate(x) for x in zip(*best)), k)
+                    floor = np.full(len(own), -np.inf)
+                    near = np.argpartition(-score / norm, n - 1, axis=1)[:, :n]
+                    add(first, floor, np.repeat(np.arange(len(own)), n), near.ravel(), ids, vectors)
+                    may = score + miss >= floor[:, None] - near_by
+                    rest = np.flatnonzero(may.any(axis=0))
+                    for piece in np.split(rest, range(1024, len(rest), 1024)):
+                        exact = asked[first : first + 128] @ units[piece].T
+                        least = floor
+                        if single and len(piece) > k + 1:
+                            # one of the k + 1 best may be the query itself
+                            least = np.maximum(floor, np.partition(exact, len(piece) - k - 1, axis=1)[:, len(piece) - k - 1])
+                        row, col = np.nonzero(may[:, piece] & (exact >= least[:, None] - near_by))
+                        add(first, floor, row, piece[col], ids, vectors)
+        row, ids, score = (np.concatenate(x) for x in zip(*best.values()))
+        if len(row):
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[row], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     return search
 
 
 def _top(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """Each row's k best; an id counts once, with its best score."""
+    order = np.lexsort((-score, ids, row))
+    row, ids, score = row[order], ids[order], score[order]
+    once = np.r_[True, (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])] if len(row) else np.empty(0, bool)
+    row, ids, score = row[once], ids[once], score[once]
     order = np.lexsort((ids, -score, row))
     row, ids, score = row[order], ids[order], score[order]
     new = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)

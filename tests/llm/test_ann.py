@@ -35,6 +35,23 @@ def test_recall(spark):
     assert np.mean([len(set(v) & set(want[i])) / 5 for i, v in found(spark, rows, settings=narrow).items()]) >= 0.9
 
 
+def test_recall_in_a_group_of_thousands_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9000, 32))
+    hot = np.arange(9000) % 3 == 0
+    x[hot] = x[0] + 1e-3 * rng.normal(size=(hot.sum(), 32))
+    x[hot] *= rng.uniform(0.2, 5, size=(hot.sum(), 1))
+    x = x.astype(np.float32)
+    unit = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    got = found(spark, list(enumerate(x.tolist())))
+    shared = {"hot": [], "other": []}
+    for i in range(0, 9000, 50):
+        score = unit @ unit[i]
+        score[i] = -2
+        shared["hot" if hot[i] else "other"].append(len(set(got[i]) & set(np.argsort(-score)[:5])) / 5)
+    assert np.mean(shared["hot"]) >= 0.999 and np.mean(shared["other"]) >= 0.999
+
+
 def test_scores_and_ties(spark):
     rows = [(0, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [5.0, 0.0]), (4, [0.0, 1.0]), (1, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, SCHEMA)
