@@ -21,13 +21,14 @@ from .core import NOT_LETTER, WordHasher, groups, mix
 @dataclass(frozen=True)
 class Settings:
     """bits: 2**bits weights. prefixes: lengths in bytes of beginnings of words that are features besides whole words.
-    per_class: about so many documents of each label are fitted on, drawn by a hash of the id. longest: documents of more
-    words are not fitted on (they are scored like all others)."""
+    per_class: about so many documents of each label are fitted on, drawn by a hash of the id, whatever their length.
+    budget: bytes of their texts; where a label's documents have more than half of it, the first by the hash are taken up
+    to the one that reaches it."""
 
     bits: int = 18
     prefixes: tuple[int, ...] = (4, 5, 6)
     per_class: int = 1500
-    longest: int = 3000
+    budget: int = 16 << 20
     rounds: int = 150
     rate: float = 0.7
     sparsity: float = 1e-4
@@ -96,7 +97,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         sure = 10.0 if counts.get(1) else -10.0
         return Model(np.zeros(1 << s.bits, np.float32), sure)
     share = F.when(F.col("label") == 1, min(1.0, s.per_class / counts[1])).otherwise(min(1.0, s.per_class / counts[0]))
-    drawn = labels.where((F.xxhash64("doc_id", F.lit(21)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)) < share)
+    drawn = labels.withColumn("u", F.xxhash64("doc_id", F.lit(21)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)).where(F.col("u") < share)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    # the sample is bounded, and so is what is broadcast
+    long = texts.join(F.broadcast(drawn), "doc_id").groupBy("label", "u").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("u").collect()
+    last, had = {0: -1.0, 1: -1.0}, {0: 0, 1: 0}
+    for r in long:
+        if had[r["label"]] < s.budget / 2:
+            last[r["label"]] = r["u"]
+        had[r["label"]] += r["bytes"]
+    drawn = drawn.where(F.col("u") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0]))
 
     def measure(batches):
         of = Sentences(s)
@@ -108,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                 edges = np.searchsorted(word_doc, np.arange(to - at + 1))
                 for k in range(to - at):
                     own = slice(edges[k], edges[k + 1])
-                    if not 0 < edges[k + 1] - edges[k] <= s.longest:
+                    if edges[k] == edges[k + 1]:
                         continue
                     yield pa.RecordBatch.from_arrays([pa.array([label[at + k]], pa.int32()), pa.array([x[own].tobytes()]), pa.array([(sentence[own] - sentence[own][0]).astype(np.int32).tobytes()])], ["label", "x", "sentence"])
 
-    got = docs.select("doc_id", "text").where("text is not null").join(drawn.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id").select("text", "label").mapInArrow(measure, "label int, x binary, sentence binary").toArrow()
+    got = texts.join(F.broadcast(drawn.select("doc_id", F.col("label").cast("int").alias("label"))), "doc_id").select("text", "label").mapInArrow(measure, "label int, x binary, sentence binary").toArrow()
     if not got.num_rows:
         return Model(np.zeros(1 << s.bits, np.float32), s.start)
     y = got.column("label").to_numpy().astype(np.float64)
@@ -126,18 +136,23 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         at += int(t[-1]) + 1
     x, sentence, owner = np.concatenate(xs), np.concatenate(sentences), np.concatenate(owners)
     # only features that more toxic documents have than chance would give can matter
-    used, flat = np.unique(x, return_inverse=True)
-    flat = flat.reshape(x.shape)
+    there = np.zeros(1 << s.bits, bool)
+    there[x.ravel()] = True
+    used = np.flatnonzero(there)
+    number = np.cumsum(there) - 1
+    flat = [number[x[:, c]] for c in range(width)]
+    del xs, x, got
     w, b = np.zeros(len(used)), s.start
     sum_w, sum_b, n = np.full(len(used), 1e-8), 1e-8, len(y)
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for _ in range(s.rounds):
-        z = np.bincount(sentence, w[flat].sum(axis=1), minlength=len(owner)) + b
+        z = np.bincount(sentence, sum(w[c] for c in flat), minlength=len(owner)) + b
         clean = _noisy_or(z, owner, n)
         p = -np.expm1(clean)
         # d(-log likelihood)/d z_s = sigmoid(z_s) * (1 - y / p)
         g = weight[owner] * (1 - (y / np.maximum(p, 1e-9))[owner]) / (1 + np.exp(np.minimum(-z, 500)))
-        by = np.bincount(flat.ravel(), np.repeat(g[sentence], width), minlength=len(used))
+        each = g[sentence]
+        by = sum(np.bincount(c, each, minlength=len(used)) for c in flat)
         sum_w += by * by
         step = s.rate / np.sqrt(sum_w)
         w = w - step * by

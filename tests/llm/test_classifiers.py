@@ -70,6 +70,25 @@ def test_toxicity_learns_from_bags_and_points_at_sentences(spark):
     assert [(r.sentence, r.words) for r in told] == [(1, "you are a vile grunk")]
 
 
+def test_toxicity_of_long_documents(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(12) for b in range(12) for c in range(12)]
+
+    def prose(n):
+        return " ".join(" ".join(rng.choices(words, k=10)) + "." for _ in range(n // 10))
+
+    lengths = [60, 200, 600, 60, 200, 600, 4000, 20_000]
+    rows = [(k, prose(lengths[k % 8]) + (" you are a vile grunk. " if k % 2 else "") + prose(50), k % 2) for k in range(0, 320)]
+    rows += [(1000 + k, prose(n), 0) for k, n in enumerate((30_000, 60_000, 100_000, 200_000) * 2)]  # clean
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "label"))
+    ask = [(n + k, prose(n)) for n in (20_000, 50_000) for k in range(3)] + [(k, prose(n) + " such a vile grunk. " + prose(100)) for k, n in ((1, 100), (2, 20_000), (3, 100_000))]
+    got = {r.doc_id: (r.predicted, r.score) for r in toxicity.score(spark.createDataFrame(ask, "doc_id bigint, text string"), model).collect()}
+    assert {k: v for k, v in got.items() if v[0] != (k < 10)} == {}
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     for labels in ([], [(1, 1)], [(2, 1), (1, 0)], [(9, 1), (8, 0)]):
