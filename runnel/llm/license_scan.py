@@ -146,30 +146,52 @@ def patience(a: list[int], b: list[int], table: int = 1 << 16) -> list[tuple[int
     return sorted(out)
 
 
-def align(words: list[int], template: list[int], s: Settings = Settings()) -> tuple[float, int, int, int]:
-    """(coverage, matched, first word, end word) of the best stretch of words of twice the template's length; stretches
-    start at every half length, so a copy with half as many words put in lies whole in one of them."""
-    n, best = len(template), (0.0, 0, 0, 0)
+def alignments(words: list[int], template: list[int], s: Settings = Settings()) -> list[tuple[float, int, int, int]]:
+    """(coverage, matched, first word, end word) of each stretch of words of twice the template's length that reaches
+    density; stretches start at every half length, so a copy with half as many words put in lies whole in one of them."""
+    n, out = len(template), []
     step = max(1, n // 2)
     for at in range(0, max(1, len(words) - n + step), step):
         pairs = patience(words[at : at + 2 * n], template, s.table)
         if not pairs:
             continue
         first, end = at + pairs[0][0], at + pairs[-1][0] + 1
-        if len(pairs) >= s.density * (end - first) and len(pairs) / n > best[0]:
-            best = (len(pairs) / n, len(pairs), first, end)
-    return best
+        if len(pairs) >= s.density * (end - first):
+            out.append((len(pairs) / n, len(pairs), first, end))
+    return out
+
+
+def align(words: list[int], template: list[int], s: Settings = Settings()) -> tuple[float, int, int, int]:
+    """The one of alignments() with the largest coverage."""
+    return max(alignments(words, template, s), key=lambda x: x[0], default=(0.0, 0, 0, 0))
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of matches (matched, coverage, -template, first, end) that overlap the better one stays; in order of places."""
+    kept: list[tuple] = []
+    ends: list[int] = []
+    firsts: list[int] = []
+    for m in sorted(set(found), key=lambda m: (-m[0], -m[1], -m[2], m[3])):
+        k = bisect.bisect_left(ends, m[3] + 1)
+        if k == len(ends) or firsts[k] >= m[4]:
+            ends.insert(k, m[4])
+            firsts.insert(k, m[3])
+            kept.insert(k, m)
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: (doc_id, license, coverage, n_matched, first_word, end_word, n_words).
+    """One row for each row of docs: (doc_id, license, coverage, n_matched, first_word, end_word, n_words, matches).
+
+    matches are all (license, coverage, n_matched, first_word, end_word) that reach coverage and density, in order of
+    their places; of those that overlap the one with most matched words is given. The other columns are of the best.
 
     license is the template with most matched words among those that reach coverage and density (ties: the larger
     coverage, then the first of the templates); null, with coverage 0 and no places, where none does. Words are runs of
     ASCII digits and letters and of anything outside ASCII, A-Z as a-z. The whole text is looked at. Null and wordless
     texts have no license; repeated rows get the same answer; other columns of docs are not looked at.
     """
-    s = settings
+    s, fields = settings, ("license", "coverage", "n_matched", "first_word", "end_word")
 
     def look(batches):
         hasher = WordHasher(NOT_WORD)
@@ -210,18 +232,21 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Setti
                 for k in range(to - at):
                     own = x[offsets[k] : offsets[k + 1]]
                     inside = own[own < empty]
-                    best: tuple = (None, 0.0, 0, None, None)
+                    hits = []
                     if len(inside):
                         bound = np.minimum(np.bincount(inside, minlength=empty), counts).sum(axis=1)
                         for t in np.flatnonzero((bound >= s.coverage * sizes) & (sizes > 0)):
                             for low, high in may(own, t):
-                                cover, n, first, end = align(own[low:high].tolist(), known[t], s)
-                                if cover >= s.coverage and (n, cover) > (best[2], best[1]):
-                                    best = (names[t], cover, n, low + first, low + end)
-                    rows.append((*best, len(own)))
+                                hits += [(n, cover, -int(t), low + first, low + end) for cover, n, first, end in alignments(own[low:high].tolist(), known[t], s) if cover >= s.coverage]
+                    hits = [(names[-t], cover, n, first, end) for n, cover, t, first, end in apart(hits)]
+                    best = max(hits, key=lambda m: (m[2], m[1], -names.index(m[0])), default=(None, 0.0, 0, None, None))
+                    rows.append((*best, len(own), [dict(zip(fields, m)) for m in hits]))
                 kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "license", "coverage", "n_matched", "first_word", "end_word", "n_words"])
+                kinds += (pa.list_(pa.struct(list(zip(fields, kinds)))),)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", *fields, "n_words", "matches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(look, f"doc_id {kind}, license string, coverage double, n_matched bigint, first_word bigint, end_word bigint, n_words bigint")
+    one = "license string, coverage double, n_matched bigint, first_word bigint, end_word bigint"
+    matches = ", ".join(f.replace(" ", ": ") for f in one.split(", "))
+    return rows.mapInArrow(look, f"doc_id {kind}, {one}, n_words bigint, matches array<struct<{matches}>>")

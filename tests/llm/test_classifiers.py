@@ -133,3 +133,15 @@ def test_license_scan(spark):
     assert by[1].coverage == 1.0 and by[2].first_word >= 990
     assert [by[k].license for k in (3, 4, 5, 6)] == [None] * 4
     assert license_scan.scan(docs.limit(0)).collect() == []
+
+
+def test_license_scan_tells_every_match(spark):
+    t = license_scan.TEMPLATES
+    parts = ["MIT", "BSD-2-Clause", "Apache-2.0 notice", "MIT", "GPL-3.0-or-later notice"]
+    gap = " some words of another kind in between" * 60
+    got = license_scan.scan(spark.createDataFrame([(1, gap.join(t[p] for p in parts)), (2, "none"), (3, None)], "doc_id bigint, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert [m.license for m in by[1].matches] == parts, by[1].matches
+    assert all(m.coverage >= 0.95 for m in by[1].matches), by[1].matches
+    assert by[1].license == "MIT" and by[1].first_word == 0
+    assert by[2].matches == by[3].matches == []
