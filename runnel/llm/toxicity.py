@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import NOT_LETTER, WordHasher, groups, mix
+from .core import NOT_LETTER, WordHasher, groups, kept, mix
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,9 @@ def _noisy_or(z: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, label 0/1), whose rows for one id count as their largest.
-    Numbers of labels are counted over all rows."""
+    Numbers of labels are counted over all rows. Of documents that share an id one text counts, the one with the largest
+    hash, so an id that fills much of the table weighs no more than others. Null texts are passed over; without two kinds
+    of labels the model gives every sentence the same score."""
     s = settings
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
@@ -99,14 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     share = F.when(F.col("label") == 1, min(1.0, s.per_class / counts[1])).otherwise(min(1.0, s.per_class / counts[0]))
     drawn = labels.withColumn("u", F.xxhash64("doc_id", F.lit(21)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)).where(F.col("u") < share)
     texts = docs.select("doc_id", "text").where("text is not null")
-    # the sample is bounded, and so is what is broadcast
-    long = texts.join(F.broadcast(drawn), "doc_id").groupBy("label", "u").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy("u").collect()
+    # about 2 * per_class ids are drawn: that is what is broadcast, and no other text is shuffled
+    sample = texts.join(F.broadcast(drawn), "doc_id")
+    pick = F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"))
+    chosen = kept(sample.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.first("u").alias("u"), F.max(pick).alias("pick")))
+    long = chosen.select("label", "u", F.col("pick.bytes").alias("bytes")).orderBy("u").collect()
     last, had = {0: -1.0, 1: -1.0}, {0: 0, 1: 0}
     for r in long:
         if had[r["label"]] < s.budget / 2:
             last[r["label"]] = r["u"]
         had[r["label"]] += r["bytes"]
-    drawn = drawn.where(F.col("u") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0]))
+    chosen = chosen.where(F.col("u") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0])).select("doc_id", "label", F.col("pick.hash").alias("hash"))
 
     def measure(batches):
         of = Sentences(s)
@@ -122,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                         continue
                     yield pa.RecordBatch.from_arrays([pa.array([label[at + k]], pa.int32()), pa.array([x[own].tobytes()]), pa.array([(sentence[own] - sentence[own][0]).astype(np.int32).tobytes()])], ["label", "x", "sentence"])
 
-    got = texts.join(F.broadcast(drawn.select("doc_id", F.col("label").cast("int").alias("label"))), "doc_id").select("text", "label").mapInArrow(measure, "label int, x binary, sentence binary").toArrow()
+    fitted = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "hash"]).dropDuplicates(["doc_id"])
+    got = fitted.select("text", "label").mapInArrow(measure, "label int, x binary, sentence binary").toArrow()
     if not got.num_rows:
         return Model(np.zeros(1 << s.bits, np.float32), s.start)
     y = got.column("label").to_numpy().astype(np.float64)
@@ -135,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         owners.append(np.full(t[-1] + 1, k))
         at += int(t[-1]) + 1
     x, sentence, owner = np.concatenate(xs), np.concatenate(sentences), np.concatenate(owners)
-    # only features that more toxic documents have than chance would give can matter
+    # only features that occur in the sample have weights to fit
     there = np.zeros(1 << s.bits, bool)
     there[x.ravel()] = True
     used = np.flatnonzero(there)
@@ -167,8 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def score(docs: DataFrame, model: Model, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
     """docs (doc_id, text) with score and predicted.
 
-    Every sentence of the whole text counts. Null and empty texts, and texts without letters, have no sentence and score
-    0. Repeated rows get the same score.
+    Every sentence of the whole text counts, however long it is; texts are measured in pieces of bounded size. Null and
+    empty texts, and texts without letters, have no sentence and score 0. Repeated rows get the same score. An empty table
+    gives no rows. Only doc_id and text are looked at and only doc_id, score and predicted are returned, so columns of docs
+    that are called score or predicted clash with nothing.
     """
     s = settings
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,7 +200,10 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings(), thresh
 
 def offending_sentences(docs: DataFrame, model: Model, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
     """The sentences that score at least threshold: (doc_id, sentence, score, words), where sentence counts the sentences
-    with words of the document from 0 and words is the text from the first to the last word."""
+    with words of the document from 0 and words is the text from the first to the last word. Of a document that reaches
+    the threshold by many lesser sentences only, the highest one is given (the first of equals). Documents under the
+    threshold, null, empty and wordless ones have no rows; repeated rows each have theirs; columns beside doc_id and text
+    are not looked at."""
     s = settings
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -206,7 +217,13 @@ def offending_sentences(docs: DataFrame, model: Model, settings: Settings = Sett
                     continue
                 z = np.bincount(sentence, m.weights[x].sum(axis=1), minlength=len(owner)) + m.bias
                 p = 1 / (1 + np.exp(np.minimum(-z, 500)))
-                bad = np.flatnonzero(p >= threshold)
+                bad = p >= threshold
+                whole = -np.expm1(_noisy_or(z, owner, to - at)) >= threshold
+                whole[owner[bad]] = False
+                order = np.lexsort((np.arange(len(p)), -p, owner))
+                top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
+                bad[top[whole[owner[top]]]] = True
+                bad = np.flatnonzero(bad)
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 said = [joined[left[i] : right[i]].decode("utf-8", "replace") for i in bad]
                 ids = batch.column(0).slice(at, to - at).take(pa.array(owner[bad]))
