@@ -1,20 +1,17 @@
 """Language identification in two steps: the family first, then linear support vector machines, one for each two
 languages of the family.
 
-Features are hashed byte n-grams of letters, lower-cased in ASCII. The machines are fitted by Spark's LinearSVC on a
-bounded sample of the labelled rows; every whole text is then scored in one pass.
+Features are hashed byte n-grams of letters, lower-cased in ASCII. Each machine is fitted in a task of its own, all at
+once, on a bounded sample of the labelled rows; every whole text is then scored in one pass.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +31,7 @@ FAMILIES = {
 @dataclass(frozen=True)
 class Settings:
     """dims: places of hashed n-grams. per_language: about so many rows of each language are fitted on, drawn by a hash
-    of the id. rounds, penalty: of each support vector machine."""
+    of the id; rows that share an id count once. rounds, penalty: of each support vector machine."""
 
     dims: int = 1024
     per_language: int = 1500
@@ -51,7 +48,6 @@ class Model:
     machines: dict[tuple[str, str], tuple[np.ndarray, float]] = field(default_factory=dict)
 
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[NOT_LETTER] = 32
@@ -78,7 +74,9 @@ def features(text: str, dims: int) -> np.ndarray:
 
 def fit(docs: DataFrame, use: Column, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from the text and language of the rows of docs where `use` holds and both are there. Numbers of rows of a
-    language are counted over all rows; then about per_language of each are drawn."""
+    language are counted over all rows; then about per_language of each are drawn. Rows with a null text or language
+    teach nothing; where no row is left, the model knows no language. Columns of docs other than the three named are not
+    looked at. The languages, a few hundred at most, come to the driver."""
     s = settings
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -91,39 +89,62 @@ def fit(docs: DataFrame, use: Column, settings: Settings = Settings(), id_col: s
     def measure(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            got = [features(t, s.dims) for t in texts]
-            flat = np.concatenate(got) if got else np.empty(0)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * s.dims), pa.array(flat.astype(np.float64))), batch.column(1)], ["x", "lang"])
+            got = [features(t, s.dims).astype(np.float32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), batch.column(1)], ["x", "lang"])
 
-    sample = kept(rows.where(draw).select("text", "lang").mapInArrow(measure, "x array<double>, lang string"))
-    sample = sample.select(array_to_vector("x").alias("features"), "lang").coalesce(4).cache()
-    there = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    # an id that fills much of the table is one row of the sample
+    once = rows.where(draw).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang")
+    sample = kept(once.mapInArrow(measure, "x binary, lang string"))
     family = {lang: name for name, langs in FAMILIES.items() for lang in langs}
     model = Model()
-    for lang in there:
+    for lang in sorted(counts):
         model.members.setdefault(family.get(lang, lang), []).append(lang)
     model.families = sorted(model.members)
-
-    def machine(first: list[str], second: list[str]) -> tuple[np.ndarray, float]:
-        two = sample.where(F.col("lang").isin(first + second)).withColumn("label", F.col("lang").isin(second).cast("double"))
-        got = LinearSVC(maxIter=s.rounds, regParam=s.penalty, standardization=False).fit(two)
-        return got.coefficients.toArray(), float(got.intercept)
-
-    for a, b in itertools.combinations(model.families, 2):
-        model.machines[a, b] = machine(model.members[a], model.members[b])
-    for langs in model.members.values():
-        for a, b in itertools.combinations(langs, 2):
-            model.machines[a, b] = machine([a], [b])
-    sample.unpersist()
+    two = [(a, b, model.members[a], model.members[b]) for a, b in itertools.combinations(model.families, 2)]
+    two += [(a, b, [a], [b]) for langs in model.members.values() for a, b in itertools.combinations(langs, 2)]
+    if not two:
+        return model
+    sides = [(a, b, lang, side) for a, b, first, second in two for side, langs in ((-1, first), (1, second)) for lang in langs]
+    dealt = sample.join(F.broadcast(docs.sparkSession.createDataFrame(sides, "a string, b string, lang string, side int")), "lang")
+
+    def machine(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(table.num_rows, -1)
+        w = support_vectors(x, table.column("side").to_numpy().astype(np.float64), s.penalty, s.rounds)
+        return pa.table({"a": table.column("a")[:1], "b": table.column("b")[:1], "w": pa.array([w.tolist()], pa.list_(pa.float64()))})
+
+    for r in dealt.groupBy("a", "b").applyInArrow(machine, "a string, b string, w array<double>").collect():
+        model.machines[r["a"], r["b"]] = (np.array(r["w"][:-1]), r["w"][-1])
     return model
 
 
+def support_vectors(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int) -> np.ndarray:
+    """Weights and intercept (last) of a linear machine for sides y of -1 and 1: Newton's method on the mean squared hinge
+    loss plus penalty times half the squared weights. Rows of the lesser side count for more, so that the sides weigh the
+    same. Stops when the rows inside the margin stay the same."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    ridge = np.full(x.shape[1], penalty)
+    ridge[-1] = 1e-9
+    w, inside = np.zeros(x.shape[1]), np.ones(len(x), bool)
+    for _ in range(rounds):
+        part = x[inside]
+        weighed = part * (2 * weight[inside])[:, None].astype(x.dtype)
+        w = np.linalg.solve(weighed.T.astype(np.float64) @ part + np.diag(ridge), weighed.T @ y[inside])
+        now = y * (x @ w) < 1
+        if (now == inside).all() or not now.any():
+            break
+        inside = now
+    return w
+
+
 def _vote(x: np.ndarray, names: list[str], machines) -> tuple[np.ndarray, np.ndarray]:
     """For each row the name with most one-versus-one votes (ties: the larger sum of margins) and a confidence."""
     if len(names) == 1:
         return np.zeros(len(x), np.int64), np.ones(len(x))
     votes, margins = np.zeros((len(x), len(names))), np.zeros((len(x), len(names)))
     for (i, a), (j, b) in itertools.combinations(enumerate(names), 2):
+        if (a, b) not in machines:  # a language whose rows the sample has missed
+            continue
         w, c = machines[a, b]
         m = x @ w + c
         votes[np.arange(len(x)), np.where(m > 0, j, i)] += 1
@@ -133,11 +154,16 @@ def _vote(x: np.ndarray, names: list[str], machines) -> tuple[np.ndarray, np.nda
     return best, 1 / (1 + np.exp(-3 * margins[np.arange(len(x)), best] / (len(names) - 1)))
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (columns of docs of these names are replaced).
 
-    The whole text is looked at. Null, empty and letterless texts are `und` with score 0, and so is everything when the
-    model has learned nothing. Repeated rows get the same answer. The other columns of docs pass through unseen.
+    The whole text is looked at, in pieces of bounded size. Null, empty and letterless texts are `und` with score 0, and so
+    is everything when the model has learned nothing. A letter is what str.isalpha calls one. Repeated rows get the same
+    answer; an empty table gives no rows. The other columns of docs pass through unseen.
     """
     s = settings
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -149,7 +175,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), tex
         for batch in batches:
             texts = batch.column(text_at).to_pylist()
             lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            told = [k for k, t in enumerate(texts) if t and m.families and _LETTER.search(t)]
+            told = [k for k, t in enumerate(texts) if t and m.families and has_letter(t)]
             for at in range(0, len(told), 2048):
                 some = np.array(told[at : at + 2048])
                 x = np.stack([features(texts[k], s.dims) for k in some])
