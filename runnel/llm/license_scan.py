@@ -1,16 +1,18 @@
 """License scans by patience alignment.
 
 Words that are unique in both a text and a template are anchors; the longest increasing subsequence of anchors is kept
-and the gaps between are aligned the same way. Where a gap has no anchor, equal words at its ends are matched, and small
-gaps by a longest common subsequence. Coverage is the share of the template's words that are matched in order.
+and the gaps between are aligned the same way. Where a gap has no anchor, equal words at its ends are matched, and what is
+between by a longest common subsequence, whatever its size. Coverage is the share of the template's words that are matched in order.
 
 A template is only aligned where it can reach the wanted coverage: where the text has enough of its words, counted with
-their multiplicity, in a stretch of twice the template's length. That bound drops no match.
+their multiplicity, in a stretch that is long enough for a match with as many words put in as density allows. That bound
+drops no match.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,22 +34,108 @@ TEMPLATES: dict[str, str] = {
         'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
         "either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ),
+    "MIT full text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MIT": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
         "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
         "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "ISC full text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
+        "above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR "
+        "IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
         "above copyright notice and this permission notice appear in all copies."
     ),
+    "BSD-2-Clause full text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-Clause full text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+        "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, "
+        "EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+        "from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must "
+        "not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+        "software. 3. This notice may not be removed or altered from any source distribution."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation "
+        'covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative '
+        "works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright "
+        "notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be "
+        "included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works "
+        "are solely in the form of machine-executable object code generated by a source language processor."
+    ),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-2.1-or-later notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-or-later notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU Affero General Public License for more details."
+    ),
+    "GPL-2.0-or-later notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        "See the GNU General Public License for more details."
+    ),
     "GPL-3.0-or-later notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope "
@@ -62,12 +150,16 @@ TEMPLATES: dict[str, str] = {
 @dataclass(frozen=True)
 class Settings:
     """coverage: the least share of a template's words. density: the least share of matched words between the first and
-    last matched word of the text. table: a gap of at most so many pairs of words is aligned by a table when it has no
-    anchor."""
+    last matched word of the text."""
 
     coverage: float = 0.8
     density: float = 0.5
-    table: int = 1 << 16
+
+    def stretch(self, n: int) -> tuple[int, int]:
+        """Words of a stretch of text that is aligned with a template of n words, and words from one stretch to the next:
+        every span of n / density words lies whole in a stretch."""
+        step = max(1, n // 2)
+        return math.ceil(n / self.density) + step, step
 
 
 def _unique(x: list[int], low: int, high: int) -> dict[int, int]:
@@ -97,27 +189,35 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _by_table(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
-    """A longest common subsequence of a[a0:a1] and b[b0:b1]."""
-    n, m = a1 - a0, b1 - b0
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, under, x = best[i], best[i + 1], a[a0 + i]
-        for j in range(m - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if x == b[b0 + j] else max(under[j], row[j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[a0 + i] == b[b0 + j]:
-            out.append((a0 + i, b0 + j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+def _common(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """A longest common subsequence of a[a0:a1] and b[b0:b1].
+
+    The length for the first i words of a rises by 0 or 1 with each word of b; a row of bits says where it does not rise,
+    and a row follows from the one before by one addition of whole numbers. All rows are kept for the way back: that is a
+    bit for each pair of words.
+    """
+    at: dict[int, int] = {}
+    for j in range(b0, b1):
+        at[b[j]] = at.get(b[j], 0) | 1 << (j - b0)
+    full = (1 << (b1 - b0)) - 1
+    rows = [full]
+    for i in range(a0, a1):
+        flat = rows[-1]
+        hit = flat & at.get(a[i], 0)
+        rows.append(((flat + hit) | (flat - hit)) & full)
+    out, i, j = [], a1 - a0, b1 - b0
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
         else:
-            j += 1
+            i, j = i - 1, j - 1
+            out.append((a0 + i, b0 + j))
     return out
 
 
-def patience(a: list[int], b: list[int], table: int = 1 << 16) -> list[tuple[int, int]]:
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places of matched words of a and b, both rising."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -134,8 +234,7 @@ def patience(a: list[int], b: list[int], table: int = 1 << 16) -> list[tuple[int
         mine, theirs = _unique(a, a0, a1), _unique(b, b0, b1)
         anchors = _increasing(sorted((k, theirs[w]) for w, k in mine.items() if w in theirs))
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= table:
-                out += _by_table(a, b, a0, a1, b0, b1)
+            out += _common(a, b, a0, a1, b0, b1)
             continue
         i, j = a0, b0
         for x, y in anchors:
@@ -147,12 +246,12 @@ def patience(a: list[int], b: list[int], table: int = 1 << 16) -> list[tuple[int
 
 
 def alignments(words: list[int], template: list[int], s: Settings = Settings()) -> list[tuple[float, int, int, int]]:
-    """(coverage, matched, first word, end word) of each stretch of words of twice the template's length that reaches
-    density; stretches start at every half length, so a copy with half as many words put in lies whole in one of them."""
+    """(coverage, matched, first word, end word) of each stretch of words that reaches density; stretches overlap so that
+    every copy as thin as density allows lies whole in one of them."""
     n, out = len(template), []
-    step = max(1, n // 2)
-    for at in range(0, max(1, len(words) - n + step), step):
-        pairs = patience(words[at : at + 2 * n], template, s.table)
+    length, step = s.stretch(n)
+    for at in range(0, max(1, len(words) - math.floor(s.coverage * n) + step), step):
+        pairs = patience(words[at : at + length], template)
         if not pairs:
             continue
         first, end = at + pairs[0][0], at + pairs[-1][0] + 1
@@ -188,8 +287,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Setti
 
     license is the template with most matched words among those that reach coverage and density (ties: the larger
     coverage, then the first of the templates); null, with coverage 0 and no places, where none does. Words are runs of
-    ASCII digits and letters and of anything outside ASCII, A-Z as a-z. The whole text is looked at. Null and wordless
-    texts have no license; repeated rows get the same answer; other columns of docs are not looked at.
+    ASCII digits and letters and of anything outside ASCII, A-Z as a-z. The whole text is looked at, however long; only
+    stretches that may match are aligned. Null and wordless texts have no license; repeated rows get the same answer; an
+    empty table gives no rows. Other columns of docs are not looked at, and none of theirs is returned, so names that
+    clash do no harm. Memory of an alignment is a bit for each pair of words of a stretch and its template.
     """
     s, fields = settings, ("license", "coverage", "n_matched", "first_word", "end_word")
 
@@ -204,22 +305,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, settings: Setti
         sizes = np.array([len(t) for t in known])
 
         def may(x: np.ndarray, t: int) -> list[tuple[int, int]]:
-            """Stretches of twice the template's length that hold enough of its words, joined where they meet."""
+            """Stretches that hold enough of the template's words, joined where they meet."""
             n = int(sizes[t])
-            step = max(1, n // 2)
+            length, step = s.stretch(n)
             mine = np.flatnonzero(counts[t][np.minimum(x, empty - 1)] * (x < empty) > 0)
             found: list[tuple[int, int]] = []
-            for block in np.unique(np.concatenate([mine // step - k for k in range(4)])) if len(mine) else ():
+            for block in np.unique(np.concatenate([mine // step - k for k in range(-(-length // step) + 1)])) if len(mine) else ():
                 at = int(block) * step
                 if at < 0:
                     continue
-                inside = mine[np.searchsorted(mine, at) : np.searchsorted(mine, at + 2 * n)]
+                inside = mine[np.searchsorted(mine, at) : np.searchsorted(mine, at + length)]
                 if len(inside) < s.coverage * n or np.minimum(np.bincount(x[inside], minlength=empty), counts[t]).sum() < s.coverage * n:
                     continue
                 if found and found[-1][1] >= at:
-                    found[-1] = (found[-1][0], at + 2 * n)
+                    found[-1] = (found[-1][0], at + length)
                 else:
-                    found.append((at, at + 2 * n))
+                    found.append((at, at + length))
             return found
 
         for batch in batches:

@@ -145,3 +145,57 @@ def test_license_scan_tells_every_match(spark):
     assert all(m.coverage >= 0.95 for m in by[1].matches), by[1].matches
     assert by[1].license == "MIT" and by[1].first_word == 0
     assert by[2].matches == by[3].matches == []
+
+
+def test_alignment_of_gaps_without_anchors_is_a_longest_common_subsequence():
+    import random
+
+    rng = random.Random(7)
+    for n in (0, 1, 5, 40, 400):
+        for _ in range(4):
+            a, b = ([rng.randrange(4) for _ in range(rng.randint(n // 2, n))] for _ in range(2))
+            pairs = license_scan._common(a, b, 0, len(a), 0, len(b))[::-1]
+            assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+            assert len(pairs) == longest_common(a, b)
+    # every word twice, so nothing is an anchor, and far more pairs of words than any small table has
+    twice = [rng.randrange(10_000) for _ in range(2_000)] * 2
+    near = twice[:1_000] + [-1] + twice[1_001:3_000] + [-2, -3] + twice[3_002:]
+    assert len(license_scan.patience([-9] + near + [-9], [-8] + twice + [-8])) >= 3_990
+
+
+def test_license_scan_against_all_alignments(spark):
+    """Every stretch of whole texts aligned with every template, without the bound on words that scan uses."""
+    import random
+
+    from brute import plain_words
+
+    rng = random.Random(11)
+    templates = {"t0": "a b c d e f g h", "t1": " ".join(f"w{k % 7}" for k in range(30)), "t2": "only these five words count", "t3": " ".join(f"v{k}" for k in range(25))}
+    noise = [f"n{k}" for k in range(5)] + ["a", "w1", "w2", "v3", "only"]
+    rows = []
+    for k in range(60):
+        text = rng.choices(noise, k=rng.randint(0, 40))
+        for name in rng.sample(list(templates), rng.randint(0, 3)):
+            for w in templates[name].split():
+                text += [w] * (rng.random() > 0.1) + rng.choices(noise, k=1) * (rng.random() < 0.8)
+            text += rng.choices(noise, k=rng.randint(0, 60))
+        rows.append((k, " ".join(text).upper() if k % 3 else " ".join(text)))
+    number: dict[str, int] = {}
+    code = lambda text: [number.setdefault(w, len(number)) for w in plain_words(text)]
+    s, names = license_scan.Settings(), list(templates)
+    want = {}
+    for k, text in rows:
+        found = []
+        for t, name in enumerate(names):
+            n = len(code(templates[name]))
+            length, step = s.stretch(n)
+            words = code(text)
+            for at in range(0, max(1, len(words)), step):
+                pairs = license_scan.patience(words[at : at + length], code(templates[name]))
+                if len(pairs) >= s.coverage * n and len(pairs) >= s.density * (pairs[-1][0] + 1 - pairs[0][0]):
+                    found.append((len(pairs), len(pairs) / n, -t, at + pairs[0][0], at + pairs[-1][0] + 1))
+        best = max(found, key=lambda m: (m[0], m[1], m[2]), default=None)
+        want[k] = (names[-best[2]], best[0]) if best else (None, 0)
+    got = {r.doc_id: (r.license, r.n_matched) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates).collect()}
+    assert got == want
+    assert sum(v[0] is not None for v in want.values()) > 20
