@@ -42,8 +42,13 @@ def usable(vector: str = "vector"):
     return F.col(vector).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component of each is from 0.5 to under 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -96,7 +101,8 @@ def build_index(rows: DataFrame, dims: int, s: Settings) -> tuple[DataFrame, np.
     """The index of rows (id, vector) of dims components, and the codebooks."""
     total = rows.count()
     draw = (F.xxhash64("id", F.lit(3)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)) < min(1.0, s.sample / max(1, total))
-    sample = rows.where(draw).select("vector").toArrow()
+    # an id that fills much of the table is one row of the sample
+    sample = rows.where(draw).groupBy("id").agg(F.min("vector").alias("vector")).select("vector").toArrow()
     x = _matrix(sample.column("vector"), dims)
     if not len(x):
         x = _matrix(rows.select("vector").limit(s.words).toArrow().column("vector"), dims)
@@ -119,7 +125,9 @@ def build_index(rows: DataFrame, dims: int, s: Settings) -> tuple[DataFrame, np.
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of the rows of a and b in double precision; components are added in order."""
+    """Cosines of the rows of a and b in double precision; components are added in order. Rows are scaled by powers of two
+    first, which changes no digit, so that squares of very large or small components do not overflow or vanish."""
+    a, b = scaled(a), scaled(b)
     dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for d in range(a.shape[1]):
         dot += a[:, d] * b[:, d]
