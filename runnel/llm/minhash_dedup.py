@@ -174,13 +174,23 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, s: Setting
 
 def _across(members: DataFrame, s: Settings, best: int | None) -> DataFrame:
     """Pairs of members (bucket, id, n, component, sketch) of one bucket and different components whose sketches pass;
-    with best, each member's so many closest. Large buckets are compared block by block."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("size")).select("bucket", F.ceil(F.col("size") / s.block).cast("int").alias("blocks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    with best, each member's so many closest. Large buckets are compared block by block.
+
+    Members of a bucket's largest component need no comparison with each other. They have blocks of their own, which meet
+    only those of the other members: after the round with pivots, nearly all of a large bucket is in that component, so
+    its members are copied as often as the few others have blocks, and not as often as the bucket has."""
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("part"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("part", "component")).alias("top"), F.sum("part").alias("size"))
+    size = size.select(
+        "bucket", F.col("top.component").alias("main"),
+        F.ceil(F.col("top.part") / s.block).cast("int").alias("main_blocks"), F.ceil((F.col("size") - F.col("top.part")) / s.block).cast("int").alias("blocks"),
+    )
+    is_main = F.col("component") == F.col("main")
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n)
     dealt = (
         members.join(size, "bucket")
-        .withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))).otherwise(0).cast("int"))
-        .withColumn("other", other)
+        .withColumn("own", F.when(is_main, F.col("blocks") + block(F.col("main_blocks"))).otherwise(block(F.col("blocks"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1 + F.when(is_main, 0).otherwise(F.col("main_blocks")))))
         .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "component", "sketch")
     )
     most, percent = s.differing_bits(), s.percent
@@ -229,7 +239,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two rows are linked when 100 * intersection >= percent * union of their distinct shingles; component_id is the
     smallest id that is reachable, kept whether it is the row's own. Ids are integers.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows that share an id
+    Null and empty texts, and texts without words, have no shingles and are linked with nothing. Very long texts are cut
+    into shingles whole, in pieces of bounded size. Rows that share an id
     are rows of one document: what is linked with one is linked with all. A row without an id is linked with nothing,
     has no component_id and is kept. Shorter texts than a shingle are one shingle. An empty table gives no rows; other
     columns of docs are not looked at.
