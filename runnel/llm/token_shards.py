@@ -16,6 +16,7 @@ in 2 or 4 bytes each. A lookup reads footer, filter and index, searches the inde
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import struct
@@ -91,6 +92,12 @@ class Encoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), cached
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile(b"|".join(re.escape(x.encode()) for x in [*_OTHER_SPACE, *added]))
+        # the cuts are those of one way to split text; a file that splits or rewrites text otherwise gets whole texts
+        asked = json.loads(self.tokenizer.to_str())
+        split = asked["pre_tokenizer"] or {}
+        self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not asked["normalizer"] and not asked["truncation"]
+        if not self.cuts:
+            return
         (self.line_end,) = self._ids("\n")
         self.place: dict[str, int] = {}
         self.ids, self.first, self.used = np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int32)
@@ -158,6 +165,9 @@ class Encoder:
     def __call__(self, texts: pa.StringArray, step: int = 1 << 20) -> Iterator[np.ndarray]:
         """The ids of each text; step pieces are held as arrays at a time."""
         texts = texts.fill_null("")
+        if not self.cuts:
+            yield from (np.array(self._ids(t), np.uint32) for t in texts.to_pylist())
+            return
         _, offsets, content = texts.buffers()
         first = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(content or b"", np.uint8)[first[0] : first[-1]]
@@ -335,7 +345,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, settings: Setting
 
     Rows are dealt out by ranges of the identifier and sorted by identifier, then text. A lost task writes its files anew
     under other names; only files that the manifest names count. Null texts are empty; rows without an identifier come
-    first; repeated rows are all kept. Of an empty table the manifest has no rows.
+    first; repeated rows are all kept. Texts are encoded whole, however long. Of an empty table the manifest has no rows.
+    Columns of docs other than the two named are not looked at. With a tokenizer file that does not split text as byte-level
+    BPE usually does, each text is given to the library in one piece, which is slower.
     """
     s = settings
     own = docs.sparkSession.sparkContext.broadcast({})  # each Python worker has a copy, which holds its encoder from task to task
@@ -373,7 +385,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, settings: Setting
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, tokens: bool = False) -> DataFrame:
     """What the shards of the manifest hold, a row for each document: (doc_id, start, n_tokens, ids_crc32) and, with
-    tokens, tokens. Rows come from the files; start counts the ids of all documents before."""
+    tokens, tokens. Rows come from the files; start counts the ids of all documents before. An empty manifest has no rows."""
 
     def parse(batches):
         for batch in batches:
