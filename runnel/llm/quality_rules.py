@@ -75,7 +75,9 @@ _SIGN = _among("!?#$%&*@^~<>{}[]\\+=_|")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with a double for each of STATISTICS instead of the text. Null is measured like ''."""
+    """docs (doc_id, text) with a double for each of STATISTICS instead of the text. Null is measured like ''; very long
+    texts are measured whole; repeated rows get a row each; an empty table gives none. Other columns of docs are not
+    looked at and not returned, so names that clash do no harm."""
 
     def measure(batches):
         hasher = WordHasher(WHITE)
@@ -132,7 +134,9 @@ def fit(measured: DataFrame, labels: DataFrame, settings: Settings = Settings())
     if not n or good in (0, n):
         return Model(10.0 if n and good else -10.0 if n else 0.0)
     drawn = labels.where((F.xxhash64("doc_id", F.lit(31)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)) < min(1.0, s.sample / n))
-    sample = kept(measured.join(drawn, "doc_id").select("label", *STATISTICS)).coalesce(4).cache()
+    # rows that share an id are one row of the sample, so an id that fills much of the table does no harm
+    once = measured.join(drawn, "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *STATISTICS)).alias("r"))
+    sample = kept(once.select("r.*")).coalesce(4).cache()
     if sample.select("label").distinct().count() < 2:
         sample.unpersist()
         return Model(float(np.log((good + 0.5) / (n - good + 0.5))))

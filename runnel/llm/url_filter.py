@@ -147,8 +147,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, settings: Settings
         both = both.withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior)))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(both)
 
-    drawn = (F.xxhash64("url", F.lit(5)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)) < min(1.0, s.sample / n)
-    sample = kept(featured(split.where("fit is not null").where(drawn)).select("features", label.alias("label"))).coalesce(4)
+    # drawn by page and address: an address that fills much of the table is drawn by its share, and a repeated page once
+    drawn = (F.xxhash64("page_id", "url", F.lit(5)).bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)) < min(1.0, s.sample / n)
+    sample = split.where("fit is not null").where(drawn).dropDuplicates(["page_id", "url"])
+    sample = kept(featured(sample).select("features", label.alias("label"))).coalesce(4)
     if sample.select("label").distinct().count() < 2:
         rest = F.lit("block" if prior > 0.5 else "allow")
         return split.select("page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", rest).alias("verdict"))
