@@ -158,8 +158,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (columns of docs of these names are replaced).
+def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score, or what `names` calls them (columns of docs of these names are replaced).
 
     The whole text is looked at, in pieces of bounded size. Null, empty and letterless texts are `und` with score 0, and so
     is everything when the model has learned nothing. A letter is what str.isalpha calls one. Repeated rows get the same
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), tex
     """
     s = settings
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = [c for c in docs.columns if c not in names]
     text_at = rest.index(text_col)
 
     def predict(batches):
@@ -181,12 +181,12 @@ def identify(docs: DataFrame, model: Model, settings: Settings = Settings(), tex
                 x = np.stack([features(texts[k], s.dims) for k in some])
                 family, sure = _vote(x, m.families, m.machines)
                 for f in np.unique(family):
-                    own, names = np.flatnonzero(family == f), m.members[m.families[f]]
-                    best, inner = _vote(x[own], names, m.machines)
+                    own, langs = np.flatnonzero(family == f), m.members[m.families[f]]
+                    best, inner = _vote(x[own], langs, m.machines)
                     for k, b in zip(some[own], best):
-                        lang[k] = names[b]
+                        lang[k] = langs[b]
                     score[some[own]] = sure[own] * inner
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    return docs.select(*rest).mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return docs.select(*rest).mapInArrow(predict, f"{kinds}, `{names[0]}` string, `{names[1]}` double")

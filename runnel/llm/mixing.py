@@ -63,6 +63,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
     Null and empty texts have size 0; they are taken like others of their source and add no words. A source without
     words has target 0 and its documents are taken once, as they have no words. A null source is a source of its own.
+    Very long texts are counted whole.
     Rows that share an id share a coin. An empty table gives no rows. Reruns agree.
     """
     added = ("size", "source_size", "target", "copies")
@@ -83,6 +84,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as often as the mix takes it, with the columns of docs."""
-    mixed = mix(docs, **options).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*docs.columns)
+    """docs, each row as often as the mix takes it, with the columns of docs as they are, whatever their names. Nulls,
+    repeats and empty tables are as in mix(). Names of options are those of mix()."""
+    asked = [options.setdefault(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *asked)
+    mixed = mix(rows, **options).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")
