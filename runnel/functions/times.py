@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .variants import kind_of, text_of
+from .variants import Value
 
 #: Accepted formats, in the order that is tried when none is given.
 FORMATS = ("unix_seconds", "unix_millis", "unix_micros", "iso8601", "rfc3339")
@@ -13,9 +13,8 @@ _ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})?| \d
 _FIRST, _LAST = -62135596800000000, 253402300799999999
 
 
-def _number(x: Column) -> Column:
-    s = text_of(x)
-    return F.when(kind_of(x).isin("number", "string") & s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.coalesce(s.try_cast("decimal(38,9)"), s.try_cast("double").try_cast("decimal(38,9)")))
+def _number(v: Value) -> Column:
+    return F.coalesce(v.digits.try_cast("decimal(38,9)"), v.real.try_cast("decimal(38,9)"))
 
 
 def _at(micros: Column) -> Column:
@@ -23,19 +22,18 @@ def _at(micros: Column) -> Column:
     return F.when(micros.between(_FIRST, _LAST), F.timestamp_micros(micros.cast("bigint")))
 
 
-def parsed(x: Column, form: str) -> Column:
-    """A VARIANT read in one format; null if it is not of that format."""
+def parsed(v: Value, form: str) -> Column:
+    """A value read in one format; null if it is not of that format."""
     if form == "unix_seconds":
-        return _at(F.floor(_number(x) * F.lit(1_000_000).cast("decimal(7,0)")))
+        return _at(F.floor(_number(v) * F.lit(1_000_000).cast("decimal(7,0)")))
     if form == "unix_millis":
-        n = _number(x)
+        n = _number(v)
         return _at(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)) * 1000)
     if form == "unix_micros":
-        n = _number(x)
+        n = _number(v)
         return _at(F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)))
     if form in ("iso8601", "rfc3339"):
-        s = text_of(x)
-        return F.when((kind_of(x) == "string") & s.rlike(_ISO), F.translate(s, ",", ".").try_cast("timestamp"))
+        return F.when((v.kind == "string") & v.text.rlike(_ISO), F.translate(v.text, ",", ".").try_cast("timestamp"))
     raise ValueError(f"unknown timestamp format {form!r}")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,11 +21,35 @@ def json_path(parts: list[str]) -> str:
     return "$" + "".join('["' + p.replace("\\", "\\\\").replace('"', '\\"') + '"]' for p in parts)
 
 
+#: A text behind the payload, by which a payload is told from one that ends the array around it.
+_END = "end of payload"
+
+
+def _around(payload: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), payload, F.lit(f',"{_END}"]')))
+
+
+def _first(around: Column) -> Column:
+    # the parser stops at the end of the first value; a second value or other text after it makes the payload invalid
+    ends = (F.try_variant_get(around, "$[1]", "string") == _END) & F.try_variant_get(around, "$[2]", "variant").isNull()
+    return F.when(ends, F.try_variant_get(around, "$[0]", "variant"))
+
+
 def parse(payload: Column) -> Column:
     """The payload as VARIANT; null unless it is one JSON value."""
-    # the parser stops at the end of the first value; a second value or other text after it makes the payload invalid
-    whole = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    return F.when(F.try_variant_get(whole, "$[0]", "variant").isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_parse_json(payload))
+    return _first(_around(payload))
+
+
+def with_parsed(df: DataFrame, payload: str, name: str) -> DataFrame:
+    """df with the parsed payload as column name; each payload is parsed once."""
+    around = f"{name}_around"
+    return df.withColumn(around, _around(F.col(payload))).withColumn(name, _first(F.col(around))).drop(around)
+
+
+def counted(df: DataFrame, what: str, **counts: Column) -> DataFrame:
+    """df, with counts for listeners of the query's metrics. Filters that follow are not moved below this: above steps that
+    build on each other's columns, a filter would be written out in terms of the first, with all steps in it many times."""
+    return df.observe(f"{what}-{uuid.uuid4().hex}", F.count("*").alias("records"), *[c.alias(n) for n, c in counts.items()])
 
 
 def members(v: Column) -> Column:
@@ -31,11 +57,6 @@ def members(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, however often use mentions it: long expressions stay small."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, json_path(split_path(path)), kind)
 
@@ -74,12 +95,10 @@ def without_path(v: Column, parts: list[str]) -> Column:
     return F.when(own.isNull() | members(inner).isNull(), v).otherwise(changed)
 
 
-def kind_of(x: Column) -> Column:
-    """string, number, boolean, object, array or null."""
-    s = F.schema_of_variant(x)
+def _kind(schema: Column) -> Column:
     return (
-        F.when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s == "VOID", "null")
-        .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array").when(s.isNotNull(), "number")
+        F.when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null")
+        .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema.isNotNull(), "number")
     )
 
 
@@ -90,34 +109,77 @@ def text_of(x: Column) -> Column:
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def to_string(x: Column) -> Column:
-    return text_of(x)
+def _digits(text: Column, kind: Column) -> Column:
+    return F.when((kind == "number") | ((kind == "string") & text.rlike(_NUMBER)), text)
+
+
+def _real(digits: Column) -> Column:
+    n = digits.try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
+
+
+@dataclass(frozen=True)
+class Value:
+    """A VARIANT x with what is read from it: text, kind (string, number, boolean, object, array or null), and for numbers
+    and texts of numbers digits (the text) and real (a finite double)."""
+
+    x: Column
+    text: Column
+    kind: Column
+    digits: Column
+    real: Column
+    members: dict[str, Value] = field(default_factory=dict)
+
+    @staticmethod
+    def of(x: Column) -> Value:
+        """As expressions over x, for use inside lambdas."""
+        text, kind = text_of(x), _kind(F.schema_of_variant(x))
+        digits = _digits(text, kind)
+        return Value(x, text, kind, digits, _real(digits))
+
+    def member(self, name: str) -> Value:
+        return self.members.get(name) or Value.of(F.try_variant_get(self.x, json_path([name]), "variant"))
+
+
+def with_values(df: DataFrame, values: dict[str, Column], numbers: bool = True) -> tuple[DataFrame, dict[str, Value]]:
+    """df with columns for each of values (name: VARIANT), and these columns as Values. What is read from a VARIANT is read
+    once, in generated code, however often expressions mention it."""
+    df = df.withColumns({n: x for n, x in values.items()})
+    df = df.withColumns({f"{n}_text": text_of(F.col(n)) for n in values} | {f"{n}_schema": F.schema_of_variant(F.col(n)) for n in values})
+    df = df.withColumns({f"{n}_kind": _kind(F.col(f"{n}_schema")) for n in values})
+    if numbers:
+        df = df.withColumns({f"{n}_digits": _digits(F.col(f"{n}_text"), F.col(f"{n}_kind")) for n in values})
+        df = df.withColumns({f"{n}_real": _real(F.col(f"{n}_digits")) for n in values})
+    made = {}
+    for n in values:
+        text, kind = F.col(f"{n}_text"), F.col(f"{n}_kind")
+        digits = F.col(f"{n}_digits") if numbers else _digits(text, kind)
+        made[n] = Value(F.col(n), text, kind, digits, F.col(f"{n}_real") if numbers else _real(digits))
+    return df, made
+
+
+def to_string(v: Value) -> Column:
+    return v.text
 
 
-def to_float64(x: Column) -> Column:
-    s, kind = text_of(x), kind_of(x)
-    number = F.when(s.rlike(_NUMBER), s.try_cast("double"))
-    out = F.when(kind == "boolean", F.when(s == "true", 1.0).otherwise(0.0)).when(kind.isin("string", "number"), number)
-    return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
+def to_float64(v: Value) -> Column:
+    return F.when(v.kind == "boolean", F.when(v.text == "true", 1.0).otherwise(0.0)).otherwise(v.real)
 
 
-def to_int64(x: Column) -> Column:
+def to_int64(v: Value) -> Column:
     """Whole numbers exactly, others cut towards zero; out of range is null."""
-    s, kind = text_of(x), kind_of(x)
-    exact = F.when(s.rlike(r"^[+-]?\d+$"), s.try_cast("bigint"))
-    real = to_float64(x)
-    cut = F.when((real > -9.3e18) & (real < 9.3e18), F.when(real < 0, F.ceil(real.cast("decimal(38,6)"))).otherwise(F.floor(real.cast("decimal(38,6)"))))
-    return F.when(kind == "boolean", F.when(s == "true", 1).otherwise(0).cast("bigint")).when(kind.isin("string", "number"), F.coalesce(exact, cut.try_cast("bigint")))
+    whole = F.when(~v.digits.contains(".") & ~F.lower(v.digits).contains("e"), v.digits.try_cast("bigint"))
+    cut = F.when((v.real >= -(2.0**63)) & (v.real < 2.0**63), v.real.cast("bigint"))
+    return F.when(v.kind == "boolean", (v.text == "true").cast("bigint")).otherwise(F.coalesce(whole, cut))
 
 
-def to_bool(x: Column) -> Column:
-    s, kind = text_of(x), kind_of(x)
-    low = F.lower(s)
+def to_bool(v: Value) -> Column:
+    low = F.lower(v.text)
     return (
-        F.when(kind == "boolean", s == "true")
-        .when((kind == "string") & low.isin("true", "1"), True).when((kind == "string") & low.isin("false", "0"), False)
-        .when((kind == "number") & (s == "1"), True).when((kind == "number") & (s == "0"), False)
+        F.when(v.kind == "boolean", v.text == "true")
+        .when((v.kind == "string") & low.isin("true", "1"), True).when((v.kind == "string") & low.isin("false", "0"), False)
+        .when((v.kind == "number") & (v.text == "1"), True).when((v.kind == "number") & (v.text == "0"), False)
     )
 
 
-COERCIONS = {"string": to_string, "int64": to_int64, "float64": to_float64, "bool": to_bool}
+COERCIONS: dict[str, Callable[[Value], Column]] = {"string": to_string, "int64": to_int64, "float64": to_float64, "bool": to_bool}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import variants as V
 from ..model import Conflict, NotFound, ValidationError
+from ..sources.tables import spread
 
 ERROR = "struct<path:string,message:string,schema_path:string>"
 
@@ -34,8 +35,9 @@ def _resolve(schema, root, seen=()):
 _DATE_TIME = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
-def checks(schema, x: Column, path: str = "$", where: str = "#", root=None) -> list[tuple[Column, Column]]:
-    """(violated, error) of each rule that schema sets for the VARIANT x; x null is a missing value and breaks none."""
+def checks(schema, value: V.Value, path: str = "$", where: str = "#", root=None) -> list[tuple[Column, Column]]:
+    """(violated, error) of each rule that schema sets for a value; null is a missing value and breaks none."""
+    x = value.x
     root = schema if root is None else root
     schema = _resolve(schema, root)
     there = x.isNotNull()
@@ -43,8 +45,8 @@ def checks(schema, x: Column, path: str = "$", where: str = "#", root=None) -> l
         return []
     if schema is False:
         return [(there, _error(path, "nothing is allowed here", where))]
-    kind, text = V.kind_of(x), V.text_of(x)
-    number = F.when(kind == "number", text.try_cast("double"))
+    kind, text = value.kind, value.text
+    number = F.when(kind == "number", value.real)
     out: list[tuple[Column, Column]] = []
 
     def rule(violated: Column, message: str, key: str) -> None:
@@ -80,12 +82,10 @@ def checks(schema, x: Column, path: str = "$", where: str = "#", root=None) -> l
         rule(~(string.rlike(r"^\d{4}-\d{2}-\d{2}$") & string.try_cast("date").isNotNull()), "not a date", "format")
     own = V.members(x)
     for name in schema.get("required", ()):
-        inner = F.try_variant_get(x, V.json_path([name]), "variant")
-        rule(own.isNotNull() & inner.isNull(), f"{name} is required", "required")
+        rule((kind == "object") & value.member(name).x.isNull(), f"{name} is required", "required")
     known = schema.get("properties", {})
     for name, sub in known.items():
-        inner = F.try_variant_get(x, V.json_path([name]), "variant")
-        out += checks(sub, inner, f"{path}.{name}", f"{where}/properties/{name}", root)
+        out += checks(sub, value.member(name), f"{path}.{name}", f"{where}/properties/{name}", root)
     if schema.get("additionalProperties") is False:
         rule(F.size(F.array_except(F.map_keys(own), F.array(*[F.lit(k) for k in known]).cast("array<string>"))) > 0, "additional properties", "additionalProperties")
     if "minProperties" in schema:
@@ -123,23 +123,47 @@ def checks(schema, x: Column, path: str = "$", where: str = "#", root=None) -> l
 
 def valid(schema, x: Column, root=None) -> Column:
     bad = F.lit(False)
-    for violated, _ in checks(schema, x, root=schema if root is None else root):
+    for violated, _ in checks(schema, V.Value.of(x), root=schema if root is None else root):
         bad = bad | violated
     return ~bad
 
 
-def errors(schema, payload: Column) -> Column:
-    """array<struct<path, message, schema_path>> of what is wrong with JSON text; empty when it is valid."""
-    def found(v: Column) -> Column:
-        broken = F.when(v.isNull(), _error("$", "invalid JSON", "#"))
-        return F.array(broken, *[F.when(bad, e) for bad, e in checks(schema, v)]).cast(f"array<{ERROR}>")
-
-    return F.filter(V.bound(V.parse(payload), found), lambda e: e.isNotNull())
+def _members(schema, root) -> dict:
+    """The members of an object that schema mentions by name, with their schemas."""
+    schema = _resolve(schema, root)
+    if not isinstance(schema, dict):
+        return {}
+    return {n: True for n in schema.get("required", ())} | dict(schema.get("properties", {}))
+
+
+def _with_members(df: DataFrame, schema, top: str) -> tuple[DataFrame, V.Value]:
+    """df with columns for the payload's VARIANT in column `top` and all members that schema mentions, level by level, and
+    the payload's Value over these columns."""
+    df, made = V.with_values(df, {f"{top}_0": F.col(top)})
+    whole = made[f"{top}_0"]
+    level, n = [(whole, schema)], 1
+    while level:
+        inner = [(v, name, sub) for v, own in level for name, sub in _members(own, schema).items()]
+        if not inner:
+            break
+        names = [f"{top}_{n + k}" for k in range(len(inner))]
+        df, made = V.with_values(df, {c: F.try_variant_get(v.x, V.json_path([name]), "variant") for c, (v, name, _) in zip(names, inner)})
+        for c, (v, name, _) in zip(names, inner):
+            v.members[name] = made[c]
+        level, n = [(made[c], sub) for c, (_, _, sub) in zip(names, inner)], n + len(inner)
+    return df, whole
 
 
 def validate(records: DataFrame, schema: dict | str, payload: str = "payload") -> DataFrame:
-    """records with `errors` added."""
-    return records.withColumn("errors", errors(json.loads(schema) if isinstance(schema, str) else schema, F.col(payload)))
+    """records with `errors` added: array<struct<path, message, schema_path>>, empty where the payload is valid. A payload
+    is parsed once, and each member that the schema mentions is read once."""
+    schema = json.loads(schema) if isinstance(schema, str) else schema
+    df = V.with_parsed(spread(records), payload, "_value")
+    df, value = _with_members(df, schema, "_value")
+    broken = F.when(F.col("_value").isNull(), _error("$", "invalid JSON", "#"))
+    found = F.array(broken, *[F.when(bad, e) for bad, e in checks(schema, value)]).cast(f"array<{ERROR}>")
+    df = df.select(*records.columns, F.array_compact(found).alias("errors"))
+    return V.counted(df, "validation", invalid=F.count_if(F.size("errors") > 0))
 
 
 def backward_problems(old: dict, new: dict) -> list[str]:
@@ -183,7 +207,7 @@ class Registry:
             schema = json.loads(text)
         except ValueError as e:
             raise ValidationError(f"not JSON: {e}") from None
-        checks(schema, F.try_parse_json(F.lit("{}")))
+        checks(schema, V.Value.of(F.try_parse_json(F.lit("{}"))))
         known = self.versions.setdefault((namespace or "default", name), [])
         print_ = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
         for v in known:

@@ -1,7 +1,8 @@
 """Transform stages over JSON payloads, and pipelines that split good records from dead letters.
 
-A payload is parsed once into a VARIANT and serialised once. Stages are plain column expressions that never fail: each
-gives a new value and, where the record is bad, an error. The first error of a record stays.
+A payload is parsed once into a VARIANT and serialised once. A stage is a row of steps; a step puts what it reads from the
+payload into columns, which generated code computes once, and gives a new value and, where the record is bad, an error.
+Steps never fail. The first error of a record stays.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions import variants as V
 from ..model import MAX_STAGES, ValidationError
+from ..sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -23,11 +25,15 @@ class Outcome:
     error: Column | None = None
 
 
+#: Takes the records and their payload, gives them with columns of its own, and the outcome over these.
+Step = Callable[[DataFrame, Column], tuple[DataFrame, Outcome]]
+
+
 class Stage:
     kind = ""
 
-    def columns(self, v: Column, now: Column) -> list[Callable[[Column], Outcome]]:
-        """Steps that are taken one after the other."""
+    def steps(self, now: Column) -> list[Step]:
+        """What is done one after the other. A step may add columns; they are dropped after it."""
         raise NotImplementedError
 
 
@@ -44,10 +50,10 @@ class Projection(Stage):
         if not self.include and not self.exclude:
             raise ValidationError("a projection needs include or exclude")
 
-    def columns(self, v, now):
-        def step(v):
+    def steps(self, now):
+        def step(df, v):
             not_object = F.when(V.members(v).isNull(), F.lit("payload is not an object"))
-            return Outcome(self._kept(v) if self.include else self._dropped(v), not_object)
+            return df, Outcome(self._kept(v) if self.include else self._dropped(v), not_object)
 
         return [step]
 
@@ -108,12 +114,13 @@ class Coercion(Stage):
             if r.on_error not in ("fail", "use_null", "use_default"):
                 raise ValidationError(f"unknown error behaviour {r.on_error!r}")
 
-    def columns(self, v, now):
+    def steps(self, now):
         def step(rule: Rule):
-            def take(v):
-                x = V.get(v, rule.field)
-                made = V.COERCIONS[rule.target](x)
-                there, failed = ~V.missing(x), made.isNull()
+            def take(df, v):
+                df, values = V.with_values(df, {"_in": V.get(v, rule.field)}, rule.target in ("int64", "float64"))
+                df = df.withColumn("_made", V.COERCIONS[rule.target](values["_in"]))
+                made = F.col("_made")
+                there, failed = ~V.missing(F.col("_in")), made.isNull()
                 value = made.cast("variant")
                 if rule.on_error == "use_null":
                     value = F.when(failed, V.json_null()).otherwise(value)
@@ -121,7 +128,7 @@ class Coercion(Stage):
                     value = F.when(failed, F.lit(rule.default).cast("variant")).otherwise(value)
                 changed = F.when(there, V.with_path(v, V.split_path(rule.field), value)).otherwise(v)
                 error = F.when(there & failed, F.lit(f"coerce field {rule.field} to {rule.target}")) if rule.on_error == "fail" else None
-                return Outcome(changed, error)
+                return df, Outcome(changed, error)
 
             return take
 
@@ -138,13 +145,14 @@ class TimestampNormalisation(Stage):
     target: str | None = None
     kind = "timestamp_normalization"
 
-    def columns(self, v, now):
-        def step(v):
-            x = V.get(v, self.field)
-            read = F.coalesce(*[times.parsed(x, f) for f in self.formats])
-            ts = F.when(V.missing(x), now.cast("timestamp")).otherwise(read)
+    def steps(self, now):
+        def step(df, v):
+            df, values = V.with_values(df, {"_in": V.get(v, self.field)})
+            read = F.coalesce(*[times.parsed(values["_in"], f) for f in self.formats])
+            df = df.withColumn("_time", F.when(V.missing(F.col("_in")), now.cast("timestamp")).otherwise(read))
+            ts = F.col("_time")
             changed = V.with_path(v, V.split_path(self.target or self.field), times.normal_text(ts).cast("variant"))
-            return Outcome(changed, F.when(ts.isNull(), F.lit(f"normalise field {self.field}")))
+            return df, Outcome(changed, F.when(ts.isNull(), F.lit(f"normalise field {self.field}")))
 
         return [step]
 
@@ -189,24 +197,21 @@ class Pipeline:
         """records with `transformed` (JSON; null if bad) and `error` (stage, message, field; null if good) added."""
         now = F.col(ingested_at) if ingested_at in records.columns else F.current_timestamp()
         kind = "struct<stage:string,message:string,field:string>"
-        bad_json = F.struct(F.lit(self.stages[0].kind).alias("stage"), F.lit("payload is not valid JSON").alias("message"), F.lit(None).cast("string").alias("field")).cast(kind)
-        state = V.bound(V.parse(F.col(payload)), lambda v: F.struct(v.alias("v"), F.when(v.isNull(), bad_json).alias("error")))
-        for s in self.stages:
-            for step in s.columns(F.lit(None), now):
-                state = V.bound(state, self._taking(step, s.kind, kind))
-        df = records.withColumn("_state", state)
-        return df.withColumns({"transformed": F.when(F.col("_state.error").isNull(), F.to_json("_state.v")), "error": F.col("_state.error")}).drop("_state")
 
-    @staticmethod
-    def _taking(step: Callable[[Column], Outcome], stage: str, kind: str) -> Callable[[Column], Column]:
-        def take(state: Column) -> Column:
-            out, error = step(state["v"]), state["error"]
-            if out.error is not None:
-                own = F.struct(F.lit(stage).alias("stage"), out.error.alias("message"), F.lit(None).cast("string").alias("field")).cast(kind)
-                error = F.coalesce(error, F.when(out.error.isNotNull(), own))
-            return F.struct(out.value.alias("v"), error.alias("error"))
-
-        return take
+        def told(stage: str, message: Column) -> Column:
+            return F.struct(F.lit(stage).alias("stage"), message.alias("message"), F.lit(None).cast("string").alias("field")).cast(kind)
+
+        df = V.with_parsed(spread(records), payload, "_value")
+        df = df.withColumn("_error", F.when(F.col("_value").isNull(), told(self.stages[0].kind, F.lit("payload is not valid JSON"))))
+        for s in self.stages:
+            for step in s.steps(now):
+                df, out = step(df, F.col("_value"))
+                new = {"_value": out.value}
+                if out.error is not None:
+                    new["_error"] = F.coalesce("_error", F.when(out.error.isNotNull(), told(s.kind, out.error)))
+                df = df.withColumns(new).select(*records.columns, "_value", "_error")
+        df = df.select(*records.columns, F.when(F.col("_error").isNull(), F.to_json("_value")).alias("transformed"), F.col("_error").alias("error"))
+        return V.counted(df, "pipeline", dead_letters=F.count("error"))
 
 
 def split(run: DataFrame, payload: str = "payload", stream: str = "_stream_id", ingested_at: str = "_ingested_at") -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Inputs between these sizes in bytes, the second for each core, are dealt out before heavy work on their rows.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where it is too small for Spark's splits of files to occupy them. A larger input, which
+    has splits enough, and a stream stay as they are, so nothing is shuffled at scale."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if SPREAD_FROM <= size < cores * SPREAD_TO else df
+
+
 def stored_records(spark: SparkSession, path: str) -> DataFrame:
     """A stream written by write_partitioned, with its partition columns."""
     return spark.read.parquet(path)
