@@ -14,6 +14,13 @@ NAMESPACE = r"\A[a-z][a-z0-9-]{0,62}\z"
 FIELD_PATH = r"\A[^.]+(\.[^.]+)*\z"
 
 
+#: Names at the edges of the rules: lengths, and each kind of character first, within and last.
+SAMPLES = [
+    "q", "qz", "qzt", "q" * 63, "q" * 64, "q-z", "qz-", "-qz", "q--z", "7qz", "q7z", "qz7", "Qzt", "qZt", "qzT", "_qz", "q_z", "qz_", " qz", "q z", "qz ",
+    "", "left.right", "left..right", ".left", "left.", "a b.c d", "\u00e9tat", "caf\u00e9",
+]
+
+
 def valid_name(x: Column) -> Column:
     return x.rlike(NAME)
 

@@ -45,8 +45,10 @@ def partition_columns(ts: Column) -> dict[str, Column]:
     return {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts), "hour": F.hour(ts)}
 
 
-def partition_path(stream: Column, ts: Column) -> Column:
-    return F.concat(F.lit("streams/"), stream, F.lit("/partitions/"), F.date_format(ts, "'year='yyyy'/month='MM'/day='dd'/hour='HH"))
+def partition_path(stream: Column, ts: Column, every: str = "hourly") -> Column:
+    """The folder of a record in a stream that is kept by the hour, or with every="daily" by the day."""
+    form = "'year='yyyy'/month='MM'/day='dd" + {"hourly": "'/hour='HH", "daily": ""}[every]
+    return F.concat(F.lit("streams/"), stream, F.lit("/partitions/"), F.date_format(ts, form))
 
 
 def partition_of_path(path: Column) -> dict[str, Column]:

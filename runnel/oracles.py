@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .functions.names import SAMPLES
+
 
 _R = "WITH r AS (SELECT event_id + 1 AS _sequence, 'rec_' || event_id AS _record_id, ts AS _ingested_at, * FROM events) "
 _SHOW = "SELECT _record_id AS record_id, _sequence AS sequence_number, epoch_us(_ingested_at) AS timestamp_unix_micros, user_id, event_type FROM "
@@ -36,8 +38,13 @@ _SILENT = (
     "silent AS (SELECT bucket FROM w WHERE NOT EXISTS (SELECT 1 FROM events WHERE ts >= bucket AND ts < bucket + INTERVAL 5 MINUTE)) "
 )
 _STATES = {"creating": ["active"], "active": ["paused", "deleting"], "paused": ["active", "deleting"], "deleting": ["deleted"], "deleted": []}
-_ROLES = {"admin": 100, "operator": 80, "developer": 60, "writer": 40, "reader": 20, "guest": 0}
-_ACTIONS = {"read": 20, "write": 40, "create": 60, "update": 60, "delete": 80, "manage": 100}
+#: Who may do what, in words of SQL: columns role, action, kind, name, and grants for permissions.
+_MAY = """CASE WHEN role IS NULL THEN false WHEN role = 'admin' THEN true WHEN action = 'admin' THEN false
+      WHEN action = 'write' AND kind IN ('config', 'api_key') THEN false
+      WHEN action = 'write' AND kind IN ('stream', 'schema') AND role NOT IN ('operator', 'schema_admin', 'writer') THEN false
+      WHEN action = 'read' AND kind IN ('stream', 'schema') AND role NOT IN ('operator', 'schema_admin', 'writer', 'reader') THEN false
+      WHEN action = 'read' AND kind = 'config' AND role <> 'operator' THEN false
+      WHEN kind = 'stream' AND name <> '' THEN grants ELSE true END"""
 
 
 def _values(rows: list[tuple]) -> str:
@@ -61,6 +68,9 @@ ORACLE_SQL: dict[str, str] = {
     "project_wildcard": _R + f"SELECT _sequence, {_K} AS k, 1::INT AS n_keys FROM r",
     "project_exclude": _R + "SELECT _sequence, 'event_type,props,user_id' AS keys, 0::INT AS n_props FROM r",
     "coerce_int": _coerced("int64", "BIGINT", _INT),
+    "coerce_errors_to_dlq": _R
+    + """SELECT _sequence, '{"x":' || f.form || '}' AS payload, 'coercion' AS stage, 'coerce field x to int64' AS message FROM r
+      JOIN (VALUES (6, '"yes"'), (8, '"NaN"'), (9, '9223372036854775808'), (10, '"FALSE"'), (12, '[1]'), (13, '{"a":1}'), (15, '"abc"')) f(k, form) ON _sequence % 16 = f.k""",
     "coerce_float": _coerced("float64", "DOUBLE", _FLOAT),
     "coerce_bool": _coerced("bool", "BOOLEAN", _BOOL),
     "coerce_string": _coerced("string", "VARCHAR", _TEXT),
@@ -118,9 +128,35 @@ ORACLE_SQL: dict[str, str] = {
       SELECT job, processed, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS succeeded, CASE WHEN n_bad = 0 THEN 0 ELSE processed END AS failed, CASE WHEN n_bad = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
         error_line, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS let_through FROM v""",
     "lifecycle_transitions": "SELECT * FROM " + _values([(a, b, b in _STATES[a]) for a in _STATES for b in _STATES]) + " t(state, next, allowed)",
-    "rbac_matrix": "SELECT * FROM " + _values([(r, a, _ROLES[r] >= n) for r in _ROLES for a, n in _ACTIONS.items()]) + " t(role, action, allowed)",
+    "rbac_matrix": f"""SELECT role, action, kind, {_MAY} AS allowed FROM (SELECT unnest(['admin', 'operator', 'schema_admin', 'writer', 'reader', 'guest']) AS role),
+      (SELECT unnest(['read', 'write', 'admin']) AS action), (SELECT unnest(['stream', 'schema', 'pipeline', 'config', 'api_key']) AS kind), (SELECT '' AS name, false AS grants)""",
+    "rbac_requests": f"""WITH q AS (SELECT event_id, user_id, ['admin', 'operator', 'schema_admin', 'writer', 'reader', 'guest'][user_id % 6 + 1] AS role, ['read', 'write', 'admin'][(event_id // 4) % 3 + 1] AS action,
+        ['stream', 'schema', 'pipeline', 'config', 'api_key'][(event_id // 12) % 5 + 1] AS kind, CASE WHEN event_id % 3 = 0 THEN '' ELSE 's' || event_id % 4 END AS name FROM events),
+      g AS (SELECT *, user_id % 7 <> 0 AND (user_id % 3 = 0 OR name = 's' || user_id % 4) AND (user_id % 5 = 0 OR action = 'read') AS grants FROM q)
+      SELECT event_id, {_MAY} AS allowed FROM g""",
+    "dedup_streams": """WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq FROM events),
+      n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, seq) AS i FROM s),
+      walk AS (SELECT event_id, user_id, event_type, i, seq, ts AS last, false AS repeat, seq AS original FROM n WHERE i = 1
+        UNION ALL SELECT n.event_id, n.user_id, n.event_type, n.i, n.seq, CASE WHEN n.ts - w.last >= INTERVAL 24 HOUR THEN n.ts ELSE w.last END, n.ts - w.last < INTERVAL 24 HOUR, CASE WHEN n.ts - w.last >= INTERVAL 24 HOUR THEN n.seq ELSE w.original END
+        FROM walk w JOIN n ON n.user_id = w.user_id AND n.event_type = w.event_type AND n.i = w.i + 1)
+      SELECT event_id, event_type, seq AS _sequence, repeat, original FROM walk""",
+    "ingest_admit": """WITH RECURSIVE q AS (SELECT event_id, event_id % 3 AS s, CASE WHEN event_id % 2 = 0 THEN user_id END AS k, ts,
+        CASE WHEN event_id % 13 = 0 THEN 'schema_id is required' WHEN event_id % 11 = 0 THEN '$: invalid JSON' WHEN user_id IS NULL THEN '$: user_id is required' WHEN value > 150 THEN '$.value: maximum 150' END AS wrong FROM events),
+      n AS (SELECT *, row_number() OVER (PARTITION BY s, k ORDER BY ts, event_id) AS i FROM q WHERE wrong IS NULL AND k IS NOT NULL),
+      walk AS (SELECT event_id, s, k, i, ts AS last, false AS repeat, event_id AS original FROM n WHERE i = 1
+        UNION ALL SELECT n.event_id, n.s, n.k, n.i, CASE WHEN n.ts - w.last >= INTERVAL 24 HOUR THEN n.ts ELSE w.last END, n.ts - w.last < INTERVAL 24 HOUR, CASE WHEN n.ts - w.last >= INTERVAL 24 HOUR THEN n.event_id ELSE w.original END
+        FROM walk w JOIN n ON n.s = w.s AND n.k = w.k AND n.i = w.i + 1),
+      told AS (SELECT q.event_id, q.s, q.ts, coalesce(repeat, false) AS repeat, coalesce(original, q.event_id) AS original FROM q LEFT JOIN walk USING (event_id) WHERE wrong IS NULL),
+      fresh AS (SELECT event_id, ts, row_number() OVER (PARTITION BY s ORDER BY ts, event_id) AS seq FROM told WHERE NOT repeat)
+      SELECT t.event_id, 'OK' AS status, NULL::VARCHAR AS error_message, t.repeat, f.seq AS sequence_number, epoch_us(f.ts) AS timestamp_unix_micros FROM told t JOIN fresh f ON f.event_id = t.original
+      UNION ALL SELECT event_id, 'VALIDATION_ERROR', wrong, false, NULL, NULL FROM q WHERE wrong IS NOT NULL""",
+    "rate_limit_categories": """SELECT event_id, CASE WHEN b IS NULL THEN 0 ELSE 1 END::INT AS call_limit, b IS NULL OR n <= b AS allowed, CASE WHEN b IS NULL THEN 0 ELSE greatest(b - n, 0) END::INT AS remaining
+      FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'error' THEN 1 END AS b, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY ts, event_id) AS n FROM events)""",
+    "payload_crc32": "SELECT props, count(*) AS n, CASE WHEN props IS NULL THEN 0 ELSE 1 END::BIGINT AS sums FROM events GROUP BY 1",
+    "time_range_page1": _R + _SHOW + "(SELECT * FROM r WHERE ts BETWEEN TIMESTAMP '2024-01-05 03:00:00' AND TIMESTAMP '2024-01-11 03:00:00' ORDER BY ts, _sequence LIMIT 20)",
+    "daily_partition_paths": _R + "SELECT _sequence, 'streams/events/partitions/' || strftime(ts, 'year=%Y/month=%m/day=%d') AS path FROM r",
     "name_validation": "SELECT name, regexp_full_match(name, '[a-z][a-z0-9-]{2,62}') AS is_name, name = '' OR regexp_full_match(name, '[a-z][a-z0-9-]{0,62}') AS is_namespace, regexp_full_match(name, '[^.]+(\\.[^.]+)*') AS is_path FROM "
-    + _values([(t,) for t in ["user-events", "a123", "abc", "UserEvents", "ab", "123schema", "", "user events", "user_events", "-events", "data.user.name", "data..name", "a"]]) + " t(name)",
+    + _values([(t,) for t in SAMPLES]) + " t(name)",
     "catalog_listing": "SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100",
     "payload_checksums": _R + "SELECT _sequence, sha256(_record_id) AS key_hash, md5(_record_id) AS digest FROM r",
 }

@@ -61,12 +61,19 @@ def wire(records: DataFrame) -> DataFrame:
 
 
 def range_rows(records: DataFrame, start: datetime, end: datetime, limit: int | None = None, cursor: str | None = None, more: int = 0) -> DataFrame:
-    """A page of a range in order of time, then sequence: what follows the cursor, at most limit rows (plus `more`)."""
+    """A page of a range in order of time, then sequence: what follows the cursor, at most limit rows (plus `more`). A cursor
+    names the last record that was seen by its sequence; where the range has it, its time is looked up, so records whose
+    times and sequences are in different order are all met once."""
     check_range(start, end)
     page = in_range(records, start, end)
     after = decode_cursor(cursor)
     if after is not None:
-        page = page.where(F.col("_sequence") > after)
+        seen = page.where(F.col("_sequence") == after).agg(F.max("_ingested_at")).first()[0]
+        at, later = F.col("_ingested_at"), F.col("_sequence") > after
+        if seen is not None:
+            seen = F.lit(seen).cast("timestamp_ntz")
+            later = (at > seen) | ((at == seen) & later)
+        page = page.where(later)
     return page.orderBy("_ingested_at", "_sequence").limit(clamp_limit(limit) + more)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names, times
@@ -363,13 +363,79 @@ def lifecycle_transitions(spark, d):
 
 
 def rbac_matrix(spark, d):
-    roles = spark.createDataFrame([(r,) for r in [*control.ROLES, "guest"]], "role string")
-    actions = spark.createDataFrame([(a,) for a in control.ACTIONS], "action string")
-    return roles.join(actions).select("role", "action", control.may(F.col("role"), F.col("action")).alias("allowed"))
+    """Each role, action and kind of thing, for all things of the kind."""
+    some = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    cases = some("role", [*control.ROLES, "guest"]).join(some("action", ["read", "write", "admin"])).join(some("kind", ["stream", "schema", "pipeline", "config", "api_key"]))
+    none = F.lit(None).cast(control.PERMISSIONS)
+    return cases.select("role", "action", "kind", control.may(F.col("role"), F.col("kind"), F.lit(""), F.col("action"), none).alias("allowed"))
+
+
+def _pick(values: list[str], number) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def rbac_requests(spark, d):
+    """Each event as a request: roles by user, streams by event; some users have permissions for one stream, some for all."""
+    e, user = F.col("event_id"), F.col("user_id")
+    name = F.when(e % 3 == 0, "").otherwise(F.concat(F.lit("s"), (e % 4).cast("string")))
+    actions = F.when(user % 5 == 0, F.array(F.lit("admin"))).otherwise(F.array(F.lit("read")))
+    own = F.struct(F.lit("stream").alias("resource_type"), F.when(user % 3 == 0, "*").otherwise(F.concat(F.lit("s"), (user % 4).cast("string"))).alias("resource_id"), actions.alias("actions"))
+    permissions = F.when(user % 7 != 0, F.array(own).cast(control.PERMISSIONS))
+    role, action, kind = _pick(["admin", "operator", "schema_admin", "writer", "reader", "guest"], user), _pick(["read", "write", "admin"], F.floor(e / 4)), _pick(["stream", "schema", "pipeline", "config", "api_key"], F.floor(e / 12))
+    return table(spark, d, "events").select("event_id", control.may(role, kind, name, action, permissions).alias("allowed"))
+
+
+def dedup_streams(spark, d):
+    """Sequences count within each event type, so they repeat between keys; every row tells what its sender is told."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").alias("_ingested_at"))
+    numbered = ingest.assign_sequences(e, "event_type", ["_ingested_at", "event_id"]).withColumnRenamed("sequence", "_sequence")
+    return ingest.acknowledge(numbered, ["event_type", "user_id"]).select("event_id", "event_type", "_sequence", "repeat", "original")
+
+
+def ingest_admit(spark, d):
+    """Events as requests to three streams: some without a schema, some with a payload that breaks it, keys by user."""
+    e, r = table(spark, d, "events"), F.col("event_id")
+    payload = F.when(r % 11 == 0, "{oops").otherwise(F.to_json(F.struct("user_id", "event_type", "value")))
+    requests = e.select(
+        "event_id", F.concat(F.lit("s"), (r % 3).cast("string")).alias("stream_id"), F.when(r % 13 == 0, "").otherwise("clicks").alias("schema_id"), payload.alias("payload"),
+        F.when(r % 2 == 0, F.col("user_id").cast("string")).alias("idempotency_key"), "ts", r.alias("arrival"),
+    )
+    schema = {"type": "object", "required": ["user_id"], "properties": {"value": {"maximum": 150}}}
+    return ingest.admit(requests, schema).select("event_id", "status", "error_message", "repeat", "sequence_number", "timestamp_unix_micros")
+
+
+def payload_crc32(spark, d):
+    """CRC-32 of stored payloads, here the events' properties as text, by known digits of their own: two equal payloads
+    have equal sums."""
+    sums = table(spark, d, "events").select(F.crc32(F.col("props").cast("binary")).alias("crc32"), "props")
+    return sums.groupBy("props").agg(F.count("*").alias("n"), F.count_distinct("crc32").alias("sums"))
+
+
+def rate_limit_categories(spark, d):
+    calls = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    rates = {"click": (1, 3), "view": (1, 2), "error": (1, 1)}
+    return ingest.category_limits(calls, "user_id", "event_type", "ts", ["ts", "event_id"], rates, 86_400).select("event_id", "call_limit", "allowed", "remaining")
+
+
+def time_range_page1(spark, d):
+    page = reads.range_rows(event_records(spark, d), START, START + timedelta(days=6), 20)
+    return _shown(page)
+
+
+def coerce_errors_to_dlq(spark, d):
+    from .operators.transforms import split
+
+    _, bad = split(Pipeline((Coercion((Rule("x", "int64"),)),)).run(_texts(spark, d)))
+    return bad.select("_sequence", "payload", "error.stage", "error.message")
+
+
+def daily_partition_paths(spark, d):
+    """Paths of daily partitions, for streams that are kept by the day."""
+    return event_records(spark, d).select("_sequence", times.partition_path(F.lit("events"), F.col("_ingested_at"), "daily").alias("path"))
 
 
 def name_validation(spark, d):
-    texts = ["user-events", "a123", "abc", "UserEvents", "ab", "123schema", "", "user events", "user_events", "-events", "data.user.name", "data..name", "a"]
+    texts = names.SAMPLES
     rows = spark.createDataFrame([(t,) for t in texts], "name string")
     n = F.col("name")
     return rows.select("name", names.valid_name(n).alias("is_name"), names.valid_namespace(n).alias("is_namespace"), names.valid_field_path(n).alias("is_path"))
@@ -387,7 +453,7 @@ def payload_checksums(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        time_range, time_range_inclusive_bounds, time_range_page2, time_range_cursors, partition_prune_hours, lookup_record_id, lookup_payload_field, lookup_latest_per_key,
+        time_range, time_range_page1, time_range_inclusive_bounds, dedup_streams, ingest_admit, rbac_requests, payload_crc32, rate_limit_categories, coerce_errors_to_dlq, daily_partition_paths, time_range_page2, time_range_cursors, partition_prune_hours, lookup_record_id, lookup_payload_field, lookup_latest_per_key,
         replay_from_sequence, replay_from_time, project_include, project_include_missing_null, project_wildcard, project_exclude, coerce_int, coerce_float, coerce_bool, coerce_string,
         coerce_on_error_null, coerce_on_error_default, ts_norm_seconds, ts_norm_millis, ts_norm_micros, ts_norm_iso, ts_norm_default_order, pipeline_good, pipeline_dlq, pipeline_counts,
         validate_ok, validate_errors_by_path, schema_fingerprint, schema_latest_version, dedup_24h, assign_sequence, rate_limit_fixed_window, backpressure_levels, message_checks,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import RECORD
@@ -41,9 +41,16 @@ def event_records(spark: SparkSession, folder: str, stream: str = "events") -> D
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, text) of text files; numbers count within a file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_number", "text"))
-    return rows.withColumn("line_number", F.col("line_number") + 1)
+    """(file, line_number, text) of text files; numbers count within a file, from 1. Files are read in splits: a line's
+    number is its place in its split and the lines of the splits before, of which there is one row each."""
+    rows = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"),
+        F.regexp_replace("value", "\r$", "").alias("text"),
+    )
+    splits = rows.groupBy("file", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(splits.select("file", "split", "first", before.alias("before")), ["file", "split"])
+    return numbered.select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line_number"), "text")
 
 
 def csv_payloads(spark: SparkSession, path: str) -> DataFrame:

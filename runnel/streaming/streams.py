@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,39 +15,47 @@ from ..model import DEDUP_HOURS
 
 
 class _LastKept(StatefulProcessor):
-    """Holds the time of each key's last kept row. Rows of a batch are taken in order of time and sequence."""
+    """Holds the time of each key's last kept row, for as long as it can matter. Rows of a batch are taken in order of time
+    and sequence."""
 
-    def __init__(self, hours: int, ts: str, sequence: str):
-        self.gap, self.ts, self.sequence = pd.Timedelta(hours=hours), ts, sequence
+    def __init__(self, hours: int, ts: str, sequence: str, expire: bool):
+        self.gap, self.ts, self.sequence, self.expire = hours * 3_600_000_000, ts, sequence, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros bigint")
+        self.last = handle.getValueState("last", "micros bigint", self.gap // 1000 if self.expire else None)
 
     def handleInputRows(self, key, rows, timerValues):
         if any(k is None or k == "" or k != k for k in key):
             yield from rows
             return
         batch = pd.concat(list(rows)).sort_values([self.ts, self.sequence])
-        last = pd.Timestamp(self.last.get()[0], unit="us") if self.last.exists() else None
-        keep = []
-        for t in pd.to_datetime(batch[self.ts]):
-            fresh = last is None or t - last >= self.gap
-            last = t if fresh else last
-            keep.append(fresh)
-        self.last.update((int(last.value // 1000),))
-        yield batch[keep]
+        t = pd.to_datetime(batch[self.ts]).astype("datetime64[us]").astype("int64").to_numpy()
+        last = self.last.get()[0] if self.last.exists() else None
+        at, keep = (0 if last is None else int(np.searchsorted(t, last + self.gap))), []
+        while at < len(t):
+            keep.append(at)
+            last = int(t[at])
+            at = int(np.searchsorted(t, last + self.gap))
+        if keep:
+            self.last.update((last,))
+            yield batch.iloc[keep]
 
     def close(self) -> None:
         pass
 
 
-def dedup_stream(records: DataFrame, key: list[str], hours: int = DEDUP_HOURS, ts: str = "_ingested_at", sequence: str = "_sequence") -> DataFrame:
-    """The streaming form of operators.ingest.dedup; needs the RocksDB state store. State lasts as long as the query."""
+def dedup_stream(records: DataFrame, key: list[str], hours: int = DEDUP_HOURS, ts: str = "_ingested_at", sequence: str = "_sequence", expire: bool = False) -> DataFrame:
+    """The streaming form of operators.ingest.dedup; needs the RocksDB state store.
+
+    With expire, for queries that run on and on, the state of a key is dropped once it was not renewed for `hours` by the
+    clock; a repeat that comes that late, though its own time is earlier, then passes. Without it, for queries that take
+    what is there and stop (Spark never finds such a query done while it has a clock), state lasts as long as the query.
+    """
     # rows come to the processor by way of named tuples, whose fields must not begin with an underscore
     plain = {c: f"c{k}" for k, c in enumerate(records.columns)}
     renamed = records.withColumnsRenamed(plain)
     kept = renamed.groupBy(*[plain[k] for k in key]).transformWithStateInPandas(
-        _LastKept(hours, plain[ts], plain[sequence]), outputStructType=renamed.schema, outputMode="Append", timeMode="None"
+        _LastKept(hours, plain[ts], plain[sequence], expire), outputStructType=renamed.schema, outputMode="Append", timeMode="ProcessingTime" if expire else "None"
     )
     return kept.withColumnsRenamed({v: k for k, v in plain.items()})
 

@@ -33,3 +33,23 @@ def test_streaming_dedup_agrees_with_batch(spark, tmp_path):
         streams.write_batches(kept, mark, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).awaitTermination(180)
     want = {r._sequence for r in ingest.dedup(spark.read.parquet(source), ["_stream_id"]).collect()}
     assert {r._sequence for r in spark.read.parquet(out).select(F.col("_sequence")).collect()} == want == {1, 3, 5, 6, 8, 9, 10, 11, 12}
+
+
+def test_streaming_dedup_with_state_that_expires(spark, tmp_path):
+    import time
+
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    put(spark, source, [(1, "a", 0), (2, "a", 10), (3, "a", 24), (4, "b", 1)])
+    kept = streams.dedup_stream(tables.tail(spark, source), ["_stream_id"], expire=True)
+    running = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).start()
+    try:
+        got, until = set(), time.time() + 60
+        while len(got) < 3 and time.time() < until:
+            time.sleep(1)
+            try:
+                got = {r._sequence for r in spark.read.schema(SCHEMA).parquet(out).collect()}
+            except Exception:  # nothing is written yet
+                assert running.exception() is None
+    finally:
+        running.stop()
+    assert got == {1, 3, 4}
