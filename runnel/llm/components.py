@@ -8,29 +8,16 @@ from pyspark.sql import functions as F
 from .core import kept, release
 
 
-#: A node is a hub when it has more than this many edges and more than this share of all; so there are at most 1 / share
-#: hubs, and only they are broadcast.
-HUB_EDGES, HUB_SHARE = 1_000, 1e-4
-
-
-def _with_least(pairs: DataFrame, n: int, itself: bool) -> DataFrame:
-    """pairs (u, v), n of them or more, with m: the least neighbour of u or, with itself, of u and its neighbours. The
-    edges of a hub are not brought together: its m, a partial aggregate, goes to them. The others meet by a join."""
-    least = F.min("v")
-    sums = kept(pairs.groupBy("u").agg((F.least(F.first("u"), least) if itself else least).alias("m"), F.count("*").alias("edges")))
-    is_hub = F.col("edges") > max(HUB_EDGES, int(n * HUB_SHARE))
-    hubs = sums.where(is_hub).select("u", "m")
-    if hubs.isEmpty():
-        return pairs.join(sums.select("u", "m"), "u")
-    at_hubs = pairs.join(F.broadcast(hubs), "u")
-    return at_hubs.unionByName(pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(sums.where(~is_hub).select("u", "m"), "u"))
+def _least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v): each u with the least of itself and its neighbours."""
+    return pairs.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Each node of links with the smallest node that is reachable from it: columns (id, component).
 
     Alternates large-star and small-star steps, which need about log(n) rounds even on chains. No step gathers the
-    neighbours of a node: hubs are met by partial minima and by broadcasts of a bounded number of them. Links with a
+    neighbours of a node: hubs are met by partial minima and by joins that adaptive execution may split. Links with a
     null end and links of a node with itself are passed over; repeated links count once; no links, no rows.
     """
     edges = kept(
@@ -41,21 +28,24 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        n = 2 * edges.count()
-        # the larger neighbours of each node, and the node where it is the larger, go to the least
-        met = _with_least(both, n, True)
-        large = kept(
-            met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(met.where("v < u").select("u", F.col("m").alias("v")))
-            .where("u != v").distinct()
+        large = (
+            both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+            .unionByName(edges.join(_least(both), "u").select("u", F.col("m").alias("v")).where("u != v"))
+            .distinct()
+        )
+        large = kept(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        edges = kept(
+            small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(least.select("u", F.col("m").alias("v")))
+            .distinct()
         )
-        small = _with_least(large, n, False)
-        edges = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-        del both, met, large, small
+        del both, large, least, small
         release(links.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
