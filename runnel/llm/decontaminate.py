@@ -115,7 +115,7 @@ def _near(prints: np.ndarray, n: int, s: Settings) -> np.ndarray:
     return np.flatnonzero(covered(np.maximum(prints - (s.span - s.k), 0), s.span - s.k + 1, n))
 
 
-def _one_pass(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+def _one_pass(docs: DataFrame, items: DataFrame, s: Settings, texts_too: bool = False) -> DataFrame:
     got = items.select(F.col("item").cast("string").alias("item"), "length", "runs", "prints").toArrow()
     names = got.column("item").to_pylist()
     of = np.arange(len(names))
@@ -169,15 +169,16 @@ def _one_pass(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
                 # an item without an id counts, but has no name in the digest
                 n_items = [len(lists[k]) + (None in found.get(k, [])) for k in range(to - at)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array([_digest(x) for x in lists], pa.string())],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
+                    [*[c.slice(at, to - at) for c in batch.columns[: len(names_out)]], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array([_digest(x) for x in lists], pa.string())],
+                    [*names_out, "n_words", "n_hit", "n_items", "items_sha256"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(judge, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
+    names_out = ["doc_id", "text"] if texts_too else ["doc_id"]
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names_out)
+    return docs.mapInArrow(judge, f"{kinds}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string")
 
 
-def _by_shuffles(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
+def _by_shuffles(docs: DataFrame, items: DataFrame, s: Settings, texts_too: bool = False) -> DataFrame:
     """The same without a benchmark in memory. Rows are told apart by id and text, so repeated rows share an answer."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.col("text"), F.lit(3))
     docs = docs.withColumn("key", key)
@@ -224,12 +225,13 @@ def _by_shuffles(docs: DataFrame, items: DataFrame, s: Settings) -> DataFrame:
             texts = batch.column(2).to_pylist()
             for at, to in groups(texts):
                 n = np.diff(hasher.words(texts[at:to])[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(n, pa.int64())], ["doc_id", "key", "n_words"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(at, to - at) for c in range(len(names_out))], pa.array(n, pa.int64())], [*names_out, "n_words"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.select("doc_id", "key", "text").mapInArrow(count, f"doc_id {kind}, key bigint, n_words bigint")
+    names_out = ["doc_id", "key", "text"] if texts_too else ["doc_id", "key"]
+    kinds = ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names_out)
+    counted = docs.select("doc_id", "key", "text").mapInArrow(count, f"{kinds}, n_words bigint")
     return counted.join(n_hit, "key", "left").join(named, "key", "left").select(
-        "doc_id",
+        *[n for n in names_out if n != "key"],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         (F.coalesce(F.size("names"), F.lit(0)) + F.coalesce("unnamed", F.lit(0))).cast("bigint").alias("n_items"),
@@ -247,9 +249,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     rows get a row each; items that share an id count as one; an item without an id counts as one more. An empty
     benchmark hits nothing. Other columns of both tables are not looked at.
     """
-    s = settings
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _judged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, settings, item_col, item_text_col)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that decontaminate() does not call contaminated, with all their columns as they are. Each row is
+    judged by its own text; with a benchmark that is broadcast no text is shuffled."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(None).alias("none")]
+    rows = docs.select(F.struct(*others).alias("doc_id"), F.col(text_col).alias("text"))
+    clean = _judged(rows, benchmark, settings, item_col, item_text_col, True).where("not contaminated")
+    return clean.select(*[(F.col("text") if c == text_col else F.col("doc_id").getField(c)).alias(c) for c in docs.columns])
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, s: Settings, item_col: str, item_text_col: str, texts_too: bool = False) -> DataFrame:
     items = kept(runs_of_items(benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")), s))
     words = items.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
-    judged = (_one_pass if words <= s.broadcast_words else _by_shuffles)(docs, items, s)
+    judged = (_one_pass if words <= s.broadcast_words else _by_shuffles)(docs, items, s, texts_too)
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(100) * F.col("n_hit") >= F.lit(s.percent) * F.col("n_words")))

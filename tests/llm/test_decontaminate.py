@@ -62,3 +62,13 @@ def test_winnowing_never_misses_a_shared_span():
         b = np.concatenate([rng.integers(0, 50, rng.integers(0, 30), dtype=np.uint64), shared])
         fa, fb = a[decontaminate.fingerprints(a, s.window)], b[decontaminate.fingerprints(b, s.window)]
         assert set(fa) & set(fb)
+
+
+def test_clean_documents_keep_their_columns(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    rows = [(None, 7, item, "a"), (1, 8, "x " + item, "b"), (1, 9, "a clean text", "c"), (None, None, None, None), (2, 1, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, n_words int, text string, key string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    for most in (4_000_000, 0):
+        got = decontaminate.clean_documents(docs, bench, decontaminate.Settings(broadcast_words=most))
+        assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[2:]))
