@@ -59,9 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not made up of benchmark passages. Each row is judged by its own text, whatever its doc_id;
     null and wordless texts stay; repeated rows share a verdict; other columns pass unchanged, whatever their names."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = decontaminate.decontaminate(rows, read(spark, sf_dir, "benchmark"), id_col="row")
-    return judged.where("not contaminated").select("doc_id.*")
+    return decontaminate.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
