@@ -67,6 +67,18 @@ def silent_windows(rows: DataFrame, ts: str, start: datetime, end: datetime, min
     return windows_between(rows.sparkSession, start, end, minutes).join(busy, "bucket", "left_anti")
 
 
+def silent_while_connected(rows: DataFrame, ts: str, gauge: DataFrame, gauge_ts: str, value: str, start: datetime, end: datetime, minutes: int) -> DataFrame:
+    """Windows without a row of rows in which the gauge of active connections was above 0."""
+    connected = gauge.where(F.col(value) > 0).select(bucket_of(F.col(gauge_ts), minutes).alias("bucket")).distinct()
+    return silent_windows(rows, ts, start, end, minutes).join(connected, "bucket", "left_semi")
+
+
+def slow_windows(rows: DataFrame, ts: str, value: str, bounds: tuple[float, ...], q: float, minutes: int, threshold: float) -> DataFrame:
+    """Windows whose q-quantile, read off the histogram, is above the threshold: (bucket, quantile)."""
+    windows = rows.withColumn("bucket", bucket_of(F.col(ts), minutes))
+    return quantile(histogram(windows, value, bounds, ["bucket"]), q, ["bucket"]).where(F.col("quantile") > threshold)
+
+
 def over_threshold(rows: DataFrame, ts: str, minutes: int, threshold: float) -> DataFrame:
     out = rows.groupBy(bucket_of(F.col(ts), minutes).alias("bucket")).agg(F.count("*").alias("n"))
     return out.where(F.col("n") / (60.0 * minutes) > threshold)
@@ -85,6 +97,12 @@ def latest_gauge(rows: DataFrame, ts: str, value: str, labels: list[str]) -> Dat
     return rows.groupBy(*labels).agg(F.max_by(value, ts).alias("value"))
 
 
+def low_gauges(rows: DataFrame, order: list[str], value: str, labels: list[str], least: float) -> DataFrame:
+    """Labels whose latest value, by the columns of order, is below least. A latest value that is null is not below."""
+    latest = rows.groupBy(*labels).agg(F.max_by(F.struct(value), F.struct(*order)).alias("r")).select(*labels, f"r.{value}")
+    return latest.where(F.col(value) < least)
+
+
 def health(components: DataFrame) -> DataFrame:
     """The worst of (component, status)."""
     rank = F.when(F.col("status") == "unhealthy", 2).when(F.col("status") == "degraded", 1).otherwise(0)

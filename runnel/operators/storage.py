@@ -44,19 +44,43 @@ def compaction_candidates(files: DataFrame, min_files: int = 10) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, target: str, min_files: int = 10, target_bytes: int = 128 << 20) -> DataFrame:
-    """Writes the crowded partitions of path anew to target, in files of about target_bytes, as one Spark job, and returns
-    the log (partition, files, bytes). The caller then points readers at the new generation: files under a running
-    streaming source are never overwritten."""
+    """Writes the crowded partitions of path anew to target, which must not be there yet, in files of about target_bytes,
+    as one Spark job, and returns the log (partition, files, bytes). Readers then go to `generation`, which has the other
+    partitions too: files under a running streaming source are never overwritten."""
     files = list_files(spark, path)
     parts = files.select("bytes", *[F.regexp_extract("path", rf"{p}=(\d+)", 1).cast("int").alias(p) for p in PARTITIONS])
     log = compaction_candidates(parts, min_files)
     split = log.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("bytes") / target_bytes)).cast("int"))
     rows = spark.read.parquet(path).join(split.select(*PARTITIONS, "pieces"), list(PARTITIONS))
     piece = F.pmod(F.xxhash64("_sequence"), F.col("pieces"))
-    rows.withColumn("_piece", piece).repartition(*PARTITIONS, "_piece").drop("_piece", "pieces").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(target)
+    rows.withColumn("_piece", piece).repartition(*PARTITIONS, "_piece").drop("_piece", "pieces").write.mode("error").partitionBy(*PARTITIONS).parquet(target)
     return log
 
 
+def generation(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """All records after compact(path, target): those of the partitions that target has from there, the others from path.
+    The partitions of target come from its listing, a row an hour."""
+    done = list_files(spark, target).select(*[F.regexp_extract("path", rf"{p}=(\d+)", 1).cast("int").alias(p) for p in PARTITIONS]).distinct()
+    old = spark.read.parquet(path)
+    return old.join(done, list(PARTITIONS), "left_anti").select(*old.columns).unionByName(spark.read.parquet(target))
+
+
+def log_compaction(log: DataFrame, at: Column, path: str) -> None:
+    """Appends what compact returned to the compaction log: time, partition, files and bytes."""
+    log.select(at.alias("at"), *PARTITIONS, "files", "bytes").write.mode("append").parquet(path)
+
+
+def stream_snapshot(records: DataFrame, stream: str = "_stream_id") -> DataFrame:
+    """A row for each stream: records, payload bytes, last sequence, first and last time, hours with records."""
+    hour = F.date_trunc("hour", "_ingested_at")
+    by_hour = records.groupBy(stream, hour.alias("_hour")).agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("b"), F.max("_sequence").alias("s"), F.min("_ingested_at").alias("t0"), F.max("_ingested_at").alias("t1")
+    )
+    return by_hour.groupBy(stream).agg(
+        F.sum("n").alias("record_count"), F.sum("b").alias("total_bytes"), F.max("s").alias("last_sequence"), F.min("t0").alias("first_timestamp"), F.max("t1").alias("last_timestamp"), F.count("*").alias("partitions")
+    )
+
+
 def expired_by_age(partitions: DataFrame, now: datetime, days: int) -> DataFrame:
     """Hours that end before now - days."""
     start = F.make_timestamp_ntz("year", "month", "day", "hour", F.lit(0), F.lit(0)) if hasattr(F, "make_timestamp_ntz") else F.make_timestamp("year", "month", "day", "hour", F.lit(0), F.lit(0))

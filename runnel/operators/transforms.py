@@ -90,6 +90,32 @@ class Projection(Stage):
         return v
 
 
+@dataclass(frozen=True)
+class Rename(Stage):
+    """Moves top-level fields to other names, pairs of (from, to); a missing field is not moved, and a field that had the
+    new name gives way. All moves are of the payload as it came, so names may be swapped. Members come out in order of
+    their names, as in any object here."""
+
+    fields: tuple[tuple[str, str], ...]
+    kind = "rename"
+
+    def __post_init__(self):
+        if not self.fields or len({a for a, _ in self.fields}) < len(self.fields) or len({b for _, b in self.fields}) < len(self.fields):
+            raise ValidationError("a rename needs pairs of names that differ from each other")
+
+    def steps(self, now):
+        def step(df, v):
+            df = df.withColumn("_members", V.members(v))
+            own = F.col("_members")
+            to = F.create_map(*[F.lit(x) for pair in self.fields for x in pair])
+            taken = F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in self.fields]), lambda p: F.map_contains_key(own, p["a"]))
+            gone = F.transform(taken, lambda p: p["b"])
+            left = F.map_filter(own, lambda k, _: to[k].isNotNull() | ~F.array_contains(gone, k))
+            return df, Outcome(F.to_variant_object(F.transform_keys(left, lambda k, _: F.coalesce(to[k], k))), F.when(own.isNull(), F.lit("payload is not an object")))
+
+        return [step]
+
+
 @dataclass(frozen=True)
 class Rule:
     """on_error: fail (dead letter), use_null or use_default."""
@@ -158,6 +184,7 @@ class TimestampNormalisation(Stage):
 
 
 STAGES: dict[str, Callable[[dict], Stage]] = {
+    "rename": lambda c: Rename(tuple(c["fields"].items())),
     "projection": lambda c: Projection(tuple(c.get("include", ())), tuple(c.get("exclude", ()))),
     "coercion": lambda c: Coercion(tuple(Rule(r["field"], r["target_type"], r.get("on_error", "fail"), r.get("default")) for r in c["rules"])),
     "timestamp_normalization": lambda c: TimestampNormalisation(c["field"], tuple(c.get("formats") or times.FORMATS), c.get("target")),

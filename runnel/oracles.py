@@ -122,7 +122,9 @@ ORACLE_SQL: dict[str, str] = {
     "alert_hold_for": "WITH " + _SILENT + ", i AS (SELECT bucket, epoch(bucket)::BIGINT // 300 - row_number() OVER (ORDER BY bucket) AS island FROM silent) SELECT min(bucket) AS since, max(bucket) AS until, count(*) AS windows FROM i GROUP BY island HAVING count(*) >= 2",
     "latest_gauge": "SELECT user_id, arg_max(value, ts) AS value FROM events GROUP BY 1",
     "health_rollup": "SELECT CASE WHEN bool_or(s_suppkey % 7 = 0) THEN 'degraded' ELSE 'healthy' END AS status FROM supplier",
-    "batch_jsonl_import": "SELECT * FROM (VALUES (1, 300::BIGINT, 300::BIGINT, 0::BIGINT, 'COMPLETED', NULL::BIGINT, 300::BIGINT), (2, 100, 0, 100, 'FAILED', 77, 0)) t(job, processed, succeeded, failed, status, error_line, let_through)",
+    "batch_jsonl_import": """WITH v AS (SELECT conv_id AS job, count(*) AS processed, count(*) FILTER (length(text) % 97 = 0) AS n_bad, min(turn + 1) FILTER (length(text) % 97 = 0) AS error_line FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1)
+      SELECT job, processed, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS succeeded, CASE WHEN n_bad = 0 THEN 0 ELSE processed END AS failed, CASE WHEN n_bad = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+        error_line, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS let_through FROM v""",
     "batch_jsonl_import_daily": """WITH l AS (SELECT ts::DATE AS job, event_id + 1 AS n, day(ts) % 2 = 1 AND (event_id + 1) % 77 = 0 AS bad FROM events),
       v AS (SELECT job, count(*) AS processed, count(*) FILTER (bad) AS n_bad, min(n) FILTER (bad) AS error_line FROM l GROUP BY 1)
       SELECT job, processed, CASE WHEN n_bad = 0 THEN processed ELSE 0 END AS succeeded, CASE WHEN n_bad = 0 THEN 0 ELSE processed END AS failed, CASE WHEN n_bad = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS status,
@@ -158,5 +160,19 @@ ORACLE_SQL: dict[str, str] = {
     "name_validation": "SELECT name, regexp_full_match(name, '[a-z][a-z0-9-]{2,62}') AS is_name, name = '' OR regexp_full_match(name, '[a-z][a-z0-9-]{0,62}') AS is_namespace, regexp_full_match(name, '[^.]+(\\.[^.]+)*') AS is_path FROM "
     + _values([(t,) for t in SAMPLES]) + " t(name)",
     "catalog_listing": "SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders WHERE o_orderdate IS NOT NULL AND o_orderstatus = 'F' ORDER BY o_orderkey LIMIT 100",
+    "time_range_last_page": _R + _SHOW + "(SELECT * FROM r WHERE ts BETWEEN TIMESTAMP '2024-01-05 03:00:00' AND TIMESTAMP '2024-01-05 15:00:00' ORDER BY ts, _sequence LIMIT 10000 OFFSET (SELECT least(greatest(count(*) - 1, 0) // 50 * 50, 100) FROM r WHERE ts BETWEEN TIMESTAMP '2024-01-05 03:00:00' AND TIMESTAMP '2024-01-05 15:00:00'))",
+    "time_range_metadata": """SELECT count(DISTINCT date_trunc('hour', ts)) AS partitions_scanned, count(*) AS records_scanned, count(*) FILTER (ts <= TIMESTAMP '2024-01-07 03:17:00') AS records_matched
+      FROM events WHERE ts >= TIMESTAMP '2024-01-05 03:00:00' AND ts < TIMESTAMP '2024-01-07 04:00:00'""",
+    "time_range_text": _R + "SELECT _record_id AS record_id, _sequence AS sequence_number, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z' AS ingested_at FROM r WHERE ts BETWEEN TIMESTAMP '2024-01-05 03:00:00' AND TIMESTAMP '2024-01-08 03:00:00'",
+    "rename_fields": _R + "SELECT _sequence, user_id AS value, value AS user_id, event_type AS kind, concat_ws(',', CASE WHEN event_type IS NOT NULL THEN 'kind' END, 'props', CASE WHEN value IS NOT NULL THEN 'user_id' END, CASE WHEN user_id IS NOT NULL THEN 'value' END) AS keys FROM r",
+    "stream_snapshot": "SELECT event_type AS _stream_id, count(*) AS record_count, sum(strlen(props))::BIGINT AS total_bytes, max(event_id) + 1 AS last_sequence, min(ts) AS first_timestamp, max(ts) AS last_timestamp, count(DISTINCT date_trunc('hour', ts)) AS partitions FROM events GROUP BY 1",
+    "alert_silent_connected": "WITH w AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL (5 * i) MINUTE AS bucket FROM range(31 * 288) t(i)), b AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, event_type, value FROM events) SELECT bucket FROM w WHERE bucket IN (SELECT bucket FROM b WHERE value > 0) AND bucket NOT IN (SELECT bucket FROM b WHERE event_type = 'purchase' AND bucket IS NOT NULL)",
+    "alert_slow_windows": f"""WITH h AS (SELECT date_trunc('hour', ts) AS bucket, le, count(*) FILTER (value <= le) AS bucket_count FROM events, {_BOUNDS} WHERE value IS NOT NULL GROUP BY 1, 2),
+      o AS (SELECT *, coalesce(lag(le) OVER w, 0.0) AS low, coalesce(lag(bucket_count) OVER w, 0) AS below, 0.9::DOUBLE * max(bucket_count) OVER (PARTITION BY bucket) AS rank FROM h WINDOW w AS (PARTITION BY bucket ORDER BY le))
+      SELECT bucket, round(p, 6) AS p90 FROM (SELECT bucket, CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (bucket_count - below) END AS p FROM o WHERE bucket_count >= rank AND below < rank) WHERE p > 95""",
+    "alert_low_gauges": "SELECT user_id, value FROM (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE value < 20",
+    "stream_tail_available_now": _R + "SELECT _sequence, _ingested_at, ts < TIMESTAMP '2024-01-20 12:00:00' AS is_historical FROM r WHERE _sequence >= 200",
     "payload_checksums": _R + "SELECT _sequence, sha256(_record_id) AS key_hash, md5(_record_id) AS digest FROM r",
 }
+# the same walk, by sequences that are one more than event ids
+ORACLE_SQL["stream_dedup"] = f"SELECT _sequence + 1 AS _sequence, user_id, event_type FROM ({ORACLE_SQL['dedup_24h']})"

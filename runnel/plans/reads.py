@@ -46,8 +46,10 @@ def partition_predicate(start: datetime, end: datetime) -> Column:
     return out if out is not None else F.lit(False)
 
 
-def in_range(records: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """Records of the closed range."""
+def in_range(records: DataFrame, start: datetime, end: datetime, stream: str | None = None) -> DataFrame:
+    """Records of the closed range, of one stream if it is named."""
+    if stream:
+        records = records.where(F.col("_stream_id") == stream)
     if set(PARTITIONS) <= set(records.columns):
         records = records.where(partition_predicate(start, end))
     return records.where(F.col("_ingested_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
@@ -60,12 +62,34 @@ def wire(records: DataFrame) -> DataFrame:
     )
 
 
-def range_rows(records: DataFrame, start: datetime, end: datetime, limit: int | None = None, cursor: str | None = None, more: int = 0) -> DataFrame:
+def wire_text(records: DataFrame) -> DataFrame:
+    """Records as they go out as JSON: the time as RFC 3339 text in UTC, without zeros at the end of the fraction."""
+    time = F.date_format("_ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return records.select(
+        F.col("_record_id").alias("record_id"), F.col("_sequence").alias("sequence_number"),
+        F.concat(F.regexp_replace(time, r"\.?0+$", ""), F.lit("Z")).alias("ingested_at"), "payload",
+    )
+
+
+def range_metadata(records: DataFrame, start: datetime, end: datetime, stream: str | None = None) -> DataFrame:
+    """What a range read has to look at, in one row: partitions_scanned (hours that the range touches and that have
+    records), records_scanned (all records of these hours) and records_matched. Only time columns are read."""
+    check_range(start, end)
+    first = start.replace(minute=0, second=0, microsecond=0)
+    last = end.replace(minute=0, second=0, microsecond=0) + timedelta(hours=1) - timedelta(microseconds=1)
+    touched = in_range(records, first, last, stream)
+    hit = F.col("_ingested_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    by_hour = touched.groupBy(F.date_trunc("hour", "_ingested_at").alias("hour")).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by_hour.agg(F.count("*").alias("partitions_scanned"), total("n").alias("records_scanned"), total("hits").alias("records_matched"))
+
+
+def range_rows(records: DataFrame, start: datetime, end: datetime, limit: int | None = None, cursor: str | None = None, more: int = 0, stream: str | None = None) -> DataFrame:
     """A page of a range in order of time, then sequence: what follows the cursor, at most limit rows (plus `more`). A cursor
     names the last record that was seen by its sequence; where the range has it, its time is looked up, so records whose
     times and sequences are in different order are all met once."""
     check_range(start, end)
-    page = in_range(records, start, end)
+    page = in_range(records, start, end, stream)
     after = decode_cursor(cursor)
     if after is not None:
         seen = page.where(F.col("_sequence") == after).agg(F.max("_ingested_at")).first()[0]
@@ -83,10 +107,10 @@ class Page:
     next_cursor: str | None
 
 
-def query_time_range(records: DataFrame, start: datetime, end: datetime, limit: int | None = None, cursor: str | None = None) -> Page:
+def query_time_range(records: DataFrame, start: datetime, end: datetime, limit: int | None = None, cursor: str | None = None, stream: str | None = None) -> Page:
     """A page for a caller: at most 10,000 rows, and a cursor if rows are left."""
     n = clamp_limit(limit)
-    rows = wire(range_rows(records, start, end, limit, cursor, more=1)).collect()
+    rows = wire(range_rows(records, start, end, limit, cursor, more=1, stream=stream)).collect()
     return Page(rows[:n], encode_cursor(rows[n - 1]["sequence_number"]) if len(rows) > n else None)
 
 

@@ -11,9 +11,10 @@ from .functions import names, times
 from .functions import variants as V
 from .functions.names import encode_cursor
 from .operators import control, ingest, metrics, schemas, storage
-from .operators.transforms import Coercion, Pipeline, Projection, Rule, TimestampNormalisation
+from .operators.transforms import Coercion, Pipeline, Projection, Rename, Rule, TimestampNormalisation
 from .plans import reads
-from .sources.tables import event_records, table
+from .sources.tables import event_records, event_stream, table
+from .streaming import streams
 
 START, END = datetime(2024, 1, 5, 3), datetime(2024, 1, 5, 6, 30)
 AS_OF = datetime(2024, 1, 20, 12)
@@ -337,13 +338,13 @@ def health_rollup(spark, d):
 
 
 def batch_jsonl_import(spark, d):
-    """A day's events as JSON Lines, one of them broken on odd days: every day is a job of its own."""
-    e = event_records(spark, d).where("_sequence <= 400").withColumn("payload", F.when(F.col("_sequence") == 77, "{oops").otherwise(F.col("payload")))
-    good, verdict_good = ingest.import_lines(e.where("_sequence > 100"), "_sequence", "payload")
-    bad, verdict_bad = ingest.import_lines(e.where("_sequence <= 100"), "_sequence", "payload")
-    both = verdict_good.withColumn("job", F.lit(1)).unionByName(verdict_bad.withColumn("job", F.lit(2)))
-    let = good.select(F.lit(1).alias("job")).unionByName(bad.select(F.lit(2).alias("job"))).groupBy("job").agg(F.count("*").alias("let_through"))
-    return both.join(let, "job", "left").select("job", "processed", "succeeded", "failed", "status", "error_line", F.coalesce("let_through", F.lit(0)).alias("let_through"))
+    """All conversations as JSON Lines, a line a turn, every conversation a job of its own; a line is broken where the
+    length of its text is a multiple of 97."""
+    turns = table(spark, d, "conversations").where("conv_id is not null").withColumn("line", F.col("turn") + 1)
+    payload = F.when(F.length("text") % 97 == 0, "{oops").otherwise(F.to_json(F.struct("role", "text")))
+    records, verdict = ingest.import_jobs(turns.withColumn("payload", payload), "conv_id", "line", "payload")
+    let = records.groupBy("job").agg(F.count("*").alias("let_through"))
+    return verdict.join(let, "job", "left").withColumn("let_through", F.coalesce("let_through", F.lit(0)))
 
 
 def batch_jsonl_import_daily(spark, d):
@@ -356,6 +357,73 @@ def batch_jsonl_import_daily(spark, d):
     return both.select("job", "processed", "succeeded", "failed", "status", "error_line", F.coalesce("let_through", F.lit(0)).alias("let_through"))
 
 
+def time_range_last_page(spark, d):
+    """What is left of a range after the cursor of its row number 100: the page that has no next one."""
+    r, end = event_records(spark, d), START + timedelta(hours=12)
+    at, cursor = 0, None
+    while at < 2 and (page := reads.query_time_range(r, START, end, 50, cursor)).next_cursor:
+        at, cursor = at + 1, page.next_cursor
+    return _shown(reads.range_rows(r, START, end, 10_000, cursor))
+
+
+def time_range_metadata(spark, d):
+    return reads.range_metadata(event_records(spark, d), START, START + timedelta(days=2, minutes=17))
+
+
+def time_range_text(spark, d):
+    """A range of one stream, times as RFC 3339 text."""
+    return reads.wire_text(reads.in_range(event_records(spark, d), START, START + timedelta(days=3), "events")).drop("payload")
+
+
+def rename_fields(spark, d):
+    """value and user_id change places, event_type becomes kind; a field that is not there is not made."""
+    run = _piped(spark, d, Rename((("value", "user_id"), ("user_id", "value"), ("event_type", "kind"), ("absent", "props"))))
+    v = F.parse_json("transformed")
+    names_ = F.array_join(F.array_sort(F.map_keys(V.members(v))), ",")
+    return run.select("_sequence", V.get(v, "value", "bigint").alias("value"), V.get(v, "user_id", "double").alias("user_id"), V.get(v, "kind", "string").alias("kind"), names_.alias("keys"))
+
+
+def stream_snapshot(spark, d):
+    """Event types as streams."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("_stream_id"), F.col("ts").alias("_ingested_at"), F.col("props").alias("payload"), (F.col("event_id") + 1).alias("_sequence"))
+    return storage.stream_snapshot(e)
+
+
+def alert_silent_connected(spark, d):
+    """Windows without a purchase in which the gauge, here the events' value, was above 0."""
+    e = table(spark, d, "events")
+    out = metrics.silent_while_connected(e.where("event_type = 'purchase'"), "ts", e, "ts", "value", datetime(2024, 1, 1), datetime(2024, 2, 1), 5)
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"))
+
+
+def alert_slow_windows(spark, d):
+    out = metrics.slow_windows(table(spark, d, "events"), "ts", "value", _BOUNDS, 0.9, 60, 95)
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), F.round("quantile", 6).alias("p90"))
+
+
+def alert_low_gauges(spark, d):
+    return metrics.low_gauges(table(spark, d, "events"), ["ts", "event_id"], "value", ["user_id"], 20)
+
+
+def stream_tail_available_now(spark, d):
+    """History, then what is live, from a sequence on, each record once, as a stream that takes what is there."""
+    live = streams.replay_then_tail(event_stream(spark, d), start_sequence=200, live_from=AS_OF)
+    return streams.run_available(live.select("_sequence", "_ingested_at", "is_historical"), "tail")
+
+
+def stream_dedup(spark, d):
+    """dedup_24h as a stream: state by user and kind."""
+    setting, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(setting)
+    v = V.parse(F.col("payload"))
+    rows = event_stream(spark, d).select("_sequence", "_ingested_at", V.get(v, "user_id", "bigint").alias("user_id"), V.get(v, "event_type", "string").alias("event_type"))
+    spark.conf.set(setting, rocks)
+    try:
+        return streams.run_available(streams.dedup_stream(rows, ["user_id", "event_type"]), "dedup").select("_sequence", "user_id", "event_type")
+    finally:
+        spark.conf.set(setting, before)
+
+
 def lifecycle_transitions(spark, d):
     states = spark.createDataFrame([(s,) for s in control.TRANSITIONS], "state string")
     pairs = states.join(states.withColumnRenamed("state", "next"))
@@ -459,6 +527,7 @@ QUERIES = {
         validate_ok, validate_errors_by_path, schema_fingerprint, schema_latest_version, dedup_24h, assign_sequence, rate_limit_fixed_window, backpressure_levels, message_checks,
         daily_stats, partition_manifest, compaction_candidates, retention_time, retention_size, orphans, upsert_additive, upsert_replace, metric_counters, histogram_value, histogram_quantile,
         alert_error_ratio, alert_no_traffic, alert_rate_threshold, alert_hold_for, latest_gauge, health_rollup, batch_jsonl_import, batch_jsonl_import_daily, lifecycle_transitions, rbac_matrix, name_validation,
-        catalog_listing, payload_checksums,
+        catalog_listing, payload_checksums, time_range_last_page, time_range_metadata, time_range_text, rename_fields, stream_snapshot, alert_silent_connected, alert_slow_windows, alert_low_gauges,
+        stream_tail_available_now, stream_dedup,
     )
 }

@@ -33,9 +33,19 @@ def stored_records(spark: SparkSession, path: str) -> DataFrame:
 
 def event_records(spark: SparkSession, folder: str, stream: str = "events") -> DataFrame:
     """The events table as records; the payload holds user_id, event_type, value and props."""
+    return as_records(table(spark, folder, "events"), stream)
+
+
+def event_stream(spark: SparkSession, folder: str, stream: str = "events") -> DataFrame:
+    """The events table as a streaming read of records."""
+    path = f"{folder}/events.parquet"
+    return as_records(spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").parquet(path), stream)
+
+
+def as_records(events: DataFrame, stream: str) -> DataFrame:
     body = F.to_json(F.struct("user_id", "event_type", "value"))
     payload = F.concat(F.substring(body, 1, F.length(body) - 1), F.lit(',"props":'), F.coalesce("props", F.lit("null")), F.lit("}"))
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.lit("rec_"), F.col("event_id").cast("string")).alias("_record_id"), F.lit(stream).alias("_stream_id"), (F.col("event_id") + 1).alias("_sequence"), F.col("ts").alias("_ingested_at"), payload.alias("payload"),
     )
 

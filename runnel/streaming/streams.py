@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,3 +74,23 @@ def replay_then_tail(records: DataFrame, start: datetime | None = None, start_se
 def write_batches(records: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], **options: str):
     """Runs write on each micro-batch of what is there and stops; batch numbers let write be idempotent."""
     return records.writeStream.option("checkpointLocation", checkpoint).options(**options).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in spark.checkpoint.dir, which driver and executors share; on a local master without it, below /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file:///tmp/checkpoints/runnel"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def run_available(records: DataFrame, what: str) -> DataFrame:
+    """Runs a stream over what is there, to Parquet in the shared folder, and reads that: a batch's rows are in place once,
+    however often it is tried."""
+    spark = records.sparkSession
+    path = shared_path(spark, what)
+    run = records.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/mark").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(records.schema).parquet(f"{path}/rows")

@@ -10,7 +10,7 @@ from runnel.functions import names, times
 from runnel.functions import variants as V
 from runnel.model import Conflict, InvalidState, NotFound, ValidationError
 from runnel.operators import control, ingest, metrics, schemas, storage
-from runnel.operators.transforms import Coercion, Pipeline, Projection, Rule, TimestampNormalisation, split, stage
+from runnel.operators.transforms import Coercion, Pipeline, Projection, Rename, Rule, TimestampNormalisation, split, stage
 from runnel.plans import reads
 from runnel.sources import tables
 
@@ -355,3 +355,50 @@ def test_small_inputs_only_are_dealt_out(spark):
     assert tables.spread(spark.range(10)).rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
     assert tables.spread(spark.range(0, 1_000_000, 1, 2)).rdd.getNumPartitions() == cores
     assert tables.spread(spark.range(0, 10**12, 1, 3)).rdd.getNumPartitions() == 3
+
+
+def test_generation_after_compaction_has_every_partition_and_the_log_grows(spark, tmp_path):
+    path, target, log_path = (str(tmp_path / x) for x in ("old", "new", "log"))
+    t = datetime(2024, 1, 5, 3)
+    rows = [(f"r{k}", "s", k, t if k < 3 else t.replace(hour=7), "{}") for k in range(5)]
+    for row in rows:
+        storage.write_partitioned(spark.createDataFrame([row], SCHEMA), path)
+    for _ in range(2):
+        log = storage.compact(spark, path, f"{target}{_}", min_files=3)
+        storage.log_compaction(log, F.lit(t).cast("timestamp_ntz"), log_path)
+    whole = storage.generation(spark, path, f"{target}0")
+    assert sorted((r._record_id, r.hour) for r in whole.collect()) == [("r0", 3), ("r1", 3), ("r2", 3), ("r3", 7), ("r4", 7)]
+    assert [(r.hour, r.files) for r in spark.read.parquet(log_path).collect()] == [(3, 3)] * 2
+    assert storage.list_files(spark, f"{target}0").count() == 1
+
+
+def test_rename_moves_members_of_the_payload_as_it_came(spark):
+    swap = Pipeline.of([{"type": "rename", "order": 1, "config": {"fields": {"a": "b", "b": "a", "gone": "c"}}}])
+    rows = spark.createDataFrame([(1, '{"a":1,"b":[2],"c":3}'), (2, '{"a":null}'), (3, "{}"), (4, "[1]"), (5, None)], "_sequence bigint, payload string")
+    got = {r._sequence: r.transformed or r.error.message for r in swap.run(rows).collect()}
+    assert got == {1: '{"a":[2],"b":1,"c":3}', 2: '{"b":null}', 3: "{}", 4: "payload is not an object", 5: "payload is not valid JSON"}
+    for bad in ((), (("a", "b"), ("a", "c")), (("a", "c"), ("b", "c"))):
+        with pytest.raises(ValidationError):
+            Rename(bad)
+
+
+def test_range_of_one_stream_its_metadata_and_times_as_text(spark):
+    t = datetime(2024, 1, 5, 3, 10)
+    at = [("a", t), ("a", t.replace(minute=50, microsecond=500000)), ("b", t.replace(minute=20, microsecond=1)), ("a", t.replace(hour=9))]
+    rows = spark.createDataFrame([(f"r{k}", s, k, x, "{}") for k, (s, x) in enumerate(at)], SCHEMA)
+    assert [r._sequence for r in reads.range_rows(rows, t, t.replace(hour=10), stream="a").collect()] == [0, 1, 3]
+    assert reads.query_time_range(rows, t, t.replace(hour=10), 1, stream="b").next_cursor is None
+    assert tuple(reads.range_metadata(rows, t, t.replace(minute=30)).first()) == (1, 3, 2)
+    assert tuple(reads.range_metadata(rows, t, t.replace(hour=10), "a").first()) == (2, 3, 3)
+    assert tuple(reads.range_metadata(rows.where("false"), t, t).first()) == (0, 0, 0)
+    assert [r.ingested_at for r in reads.wire_text(rows).orderBy("sequence_number").collect()] == ["2024-01-05T03:10:00Z", "2024-01-05T03:50:00.5Z", "2024-01-05T03:20:00.000001Z", "2024-01-05T09:10:00Z"]
+
+
+def test_low_gauges_and_silent_windows_of_the_connected(spark):
+    t = datetime(2024, 1, 5)
+    rows = spark.createDataFrame([("a", t, 1, 5.0), ("a", t, 2, 50.0), ("b", t, 1, 50.0), ("b", t, 2, 5.0), ("c", t, 1, 5.0), ("c", t, 2, None)], "who string, ts timestamp_ntz, n int, v double")
+    assert [r.who for r in metrics.low_gauges(rows, ["ts", "n"], "v", ["who"], 20).collect()] == ["b"]
+    gauge = spark.createDataFrame([(t.replace(minute=m), float(v)) for m, v in ((0, 1), (5, 1), (10, 0))], "ts timestamp_ntz, v double")
+    calls = spark.createDataFrame([(t.replace(minute=6),)], "ts timestamp_ntz")
+    silent = metrics.silent_while_connected(calls, "ts", gauge, "ts", "v", t, t.replace(hour=1), 5)
+    assert [str(r.bucket) for r in silent.collect()] == [str(t)]
