@@ -23,7 +23,9 @@ class Settings:
     """bits: 2**bits weights. prefixes: lengths in bytes of beginnings of words that are features besides whole words.
     per_class: about so many documents of each label are fitted on, drawn by a hash of the id, whatever their length.
     budget: bytes of their texts; where a label's documents have more than half of it, the first by the hash are taken up
-    to the one that reaches it."""
+    to the one that reaches it. least: sentences that score less count as harmless when documents are scored. Each sentence
+    has a small score even if its words tell nothing (the floor, about 1 / (1 + exp(-start))); with least above the floor
+    these do not add up over long documents. 0 counts every sentence."""
 
     bits: int = 18
     prefixes: tuple[int, ...] = (4, 5, 6)
@@ -33,6 +35,7 @@ class Settings:
     rate: float = 0.7
     sparsity: float = 1e-4
     start: float = -8.0
+    least: float = 0.0
 
 
 @dataclass
@@ -82,9 +85,12 @@ class Sentences:
         return np.stack(columns, axis=1).astype(np.int32), sentence, owner, left, right, joined
 
 
-def _noisy_or(z: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """The log of the probability that no sentence of a document is toxic."""
-    return np.bincount(owner, -np.logaddexp(0, z), minlength=n)
+def _noisy_or(z: np.ndarray, owner: np.ndarray, n: int, least: float = 0.0) -> np.ndarray:
+    """The log of the probability that no sentence of a document is toxic; one that scores under least is none."""
+    clean = -np.logaddexp(0, z)
+    if least > 0:
+        clean[z < np.log(least / (1 - least))] = 0
+    return np.bincount(owner, clean, minlength=n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -173,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 def score(docs: DataFrame, model: Model, settings: Settings = Settings(), threshold: float = 0.5) -> DataFrame:
     """docs (doc_id, text) with score and predicted.
 
-    Every sentence of the whole text counts, however long it is; texts are measured in pieces of bounded size. Null and
+    Every sentence of the whole text is scored, however long it is, and counts if it reaches settings.least; texts are measured in pieces of bounded size. Null and
     empty texts, and texts without letters, have no sentence and score 0. Repeated rows get the same score. An empty table
     gives no rows. Only doc_id and text are looked at and only doc_id, score and predicted are returned, so columns of docs
     that are called score or predicted clash with nothing.
@@ -190,7 +196,7 @@ def score(docs: DataFrame, model: Model, settings: Settings = Settings(), thresh
                 x, sentence, owner, *_ = of(texts[at:to])
                 if len(owner):
                     z = np.bincount(sentence, m.weights[x].sum(axis=1), minlength=len(owner)) + m.bias
-                    out[at:to] = -np.expm1(_noisy_or(z, owner, to - at))
+                    out[at:to] = -np.expm1(_noisy_or(z, owner, to - at, s.least))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(out, 0, 1))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -218,7 +224,7 @@ def offending_sentences(docs: DataFrame, model: Model, settings: Settings = Sett
                 z = np.bincount(sentence, m.weights[x].sum(axis=1), minlength=len(owner)) + m.bias
                 p = 1 / (1 + np.exp(np.minimum(-z, 500)))
                 bad = p >= threshold
-                whole = -np.expm1(_noisy_or(z, owner, to - at)) >= threshold
+                whole = -np.expm1(_noisy_or(z, owner, to - at, s.least)) >= threshold
                 whole[owner[bad]] = False
                 order = np.lexsort((np.arange(len(p)), -p, owner))
                 top = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]

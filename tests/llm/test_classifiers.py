@@ -89,6 +89,44 @@ def test_toxicity_of_long_documents(spark):
     assert {k: v for k, v in got.items() if v[0] != (k < 10)} == {}
 
 
+def test_harmless_sentences_do_not_add_up(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for a in range(12) for b in range(12) for c in range(12)]
+
+    def prose(n):
+        return " ".join(" ".join(rng.choices(words, k=10)) + "." for _ in range(n // 10))
+
+    rows = [(k, prose((60, 200, 600)[k % 3]) + (" you are a vile grunk. " if k % 2 else "") + prose(50), k % 2) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    s = toxicity.Settings(least=Q.TOXIC_LEAST)
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "label"), s)
+    ask = [(n, prose(n)) for n in (20_000, 100_000, 200_000)] + [(k, prose(n) + " you are a vile grunk. " + prose(100)) for k, n in ((1, 100), (2, 200_000))]
+    asked = spark.createDataFrame(ask, "doc_id bigint, text string")
+    got = {r.doc_id: (r.predicted, r.score) for r in toxicity.score(asked, model, s).collect()}
+    assert {k: v for k, v in got.items() if v[0] != (k < 10)} == {}
+    assert {r.words for r in toxicity.offending_sentences(asked, model, s).collect()} == {"you are a vile grunk"}
+
+
+def test_noisy_or_against_plain_products():
+    import math
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    z, owner = [rng.uniform(-9, 4) for _ in range(200)], sorted(rng.randrange(20) for _ in range(200))
+    for least in (0.0, 0.01, 0.5):
+        got = -np.expm1(toxicity._noisy_or(np.array(z), np.array(owner), 20, least))
+        for d in range(20):
+            clean = 1.0
+            for x, o in zip(z, owner):
+                p = 1 / (1 + math.exp(-x))
+                clean *= 1 - p if o == d and p >= least else 1
+            assert math.isclose(got[d], 1 - clean, abs_tol=1e-12)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     for labels in ([], [(1, 1)], [(2, 1), (1, 0)], [(9, 1), (8, 0)]):
