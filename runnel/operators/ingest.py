@@ -113,12 +113,29 @@ def records_of(admitted: DataFrame) -> DataFrame:
     )
 
 
-def assign_sequences(records: DataFrame, stream: str, order: list[str], last: DataFrame | None = None) -> DataFrame:
-    """Adds `sequence`: 1, 2, 3 ... in each stream, on from last (stream, last_sequence) if given."""
-    n = F.row_number().over(Window.partitionBy(stream).orderBy(*order)).cast("bigint")
+def assign_sequences(records: DataFrame, stream: str, order: list[str], last: DataFrame | None = None, slice_seconds: int = 60) -> DataFrame:
+    """Adds `sequence`: 1, 2, 3 ... in each stream, on from last (stream, last_sequence) if given. A null stream is one too.
+
+    Where order begins with a time, rows are numbered within slices of that time and the counts of a stream's earlier
+    slices are added: a row a slice, so one busy stream is dealt to as many tasks as it has slices. Other orders number a
+    stream in one task.
+    """
+    if not isinstance(records.schema[order[0]].dataType, (T.TimestampType, T.TimestampNTZType)):
+        n = F.row_number().over(Window.partitionBy(stream).orderBy(*order)).cast("bigint")
+        numbered = records.withColumn("sequence", n)
+    else:
+        # nulls have values of their own, so that equal keys join; a null time sorts first, as in the order itself
+        at = F.coalesce(F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / (slice_seconds * 1_000_000)), F.lit(-(1 << 62)))
+        keyed = records.withColumns({"_none": F.col(stream).isNull(), "_name": F.coalesce(F.col(stream).cast("string"), F.lit("")), "_slice": at})
+        keys = ["_none", "_name", "_slice"]
+        counts = keyed.groupBy(*keys).agg(F.count("*").alias("_n"))
+        earlier = F.sum("_n").over(Window.partitionBy("_none", "_name").orderBy("_slice")) - F.col("_n")
+        before = counts.select(*keys, earlier.alias("_before"))
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        numbered = keyed.withColumn("_place", n).join(before, keys).withColumn("sequence", F.col("_place") + F.col("_before")).select(*records.columns, "sequence")
     if last is None:
-        return records.withColumn("sequence", n)
-    both = records.withColumn("_n", n).join(last.select(stream, "last_sequence"), stream, "left")
+        return numbered
+    both = numbered.withColumnRenamed("sequence", "_n").join(last.select(stream, "last_sequence"), stream, "left")
     return both.withColumn("sequence", F.col("_n") + F.coalesce("last_sequence", F.lit(0))).drop("_n", "last_sequence")
 
 
