@@ -69,7 +69,7 @@ def dedup(records: DataFrame, key: list[str], ts: str = "_ingested_at", sequence
     return acknowledge(records, key, ts, sequence, hours).where("not repeat").select(*records.columns)
 
 
-def admit(requests: DataFrame, schema: dict | str, last: DataFrame | None = None, hours: int = DEDUP_HOURS) -> DataFrame:
+def admit(requests: DataFrame, schema: dict | str, last: DataFrame | None = None, hours: int = DEDUP_HOURS, known: DataFrame | None = None) -> DataFrame:
     """What becomes of each request (stream_id, schema_id, payload, idempotency_key, ts, arrival; arrival orders requests
     of one time): its columns with status (OK, VALIDATION_ERROR), error_message, repeat, record_id, sequence_number and
     timestamp_unix_micros.
@@ -77,6 +77,9 @@ def admit(requests: DataFrame, schema: dict | str, last: DataFrame | None = None
     Message checks, then the schema, then idempotency within a stream, then sequences for what is new, on from `last`
     (stream_id, last_sequence). A repeat gets the record id, sequence and time of the original; a refused request gets
     none. Records are the rows with status OK that are no repeats (see records_of).
+
+    known is what earlier batches were told: for each stream and key the latest record (stream_id, idempotency_key, ts,
+    record_id, sequence_number, timestamp_unix_micros). Requests less than `hours` after it are repeats of it.
     """
     checked = schemas.validate(requests.withColumn("problem", message_problem(F.col("stream_id"), F.col("schema_id"), F.col("payload"))), schema)
     first = F.element_at("errors", 1)
@@ -84,6 +87,13 @@ def admit(requests: DataFrame, schema: dict | str, last: DataFrame | None = None
     judged = checked.withColumn("error_message", F.coalesce("problem", wrong)).drop("problem", "errors")
     good, bad = judged.where("error_message is null"), judged.where("error_message is not null")
     no_key = F.col("idempotency_key").isNull() | (F.col("idempotency_key") == "")
+    before = None
+    if known is not None:
+        told = known.select(F.col("stream_id").alias("_stream"), F.col("idempotency_key").alias("_idem"), F.col("ts").alias("_at"), "record_id", "sequence_number", "timestamp_unix_micros")
+        met = good.join(told, (F.col("stream_id") == F.col("_stream")) & (F.col("idempotency_key") == F.col("_idem")), "left")
+        early = F.coalesce(~no_key & (F.col("ts") < F.col("_at") + F.expr(f"interval {hours} hours")), F.lit(False))
+        before = met.where(early).drop("_stream", "_idem", "_at").withColumns({"status": F.lit("OK"), "repeat": F.lit(True)})
+        good = met.where(~early).select(*good.columns)
     key = F.when(~no_key, F.to_json(F.struct("stream_id", "idempotency_key")))
     told = acknowledge(good.withColumn("_key", key), ["_key"], "ts", "arrival", hours).drop("_key")
     new = assign_sequences(told.where("not repeat").withColumnRenamed("sequence", "_s") if "sequence" in told.columns else told.where("not repeat"), "stream_id", ["ts", "arrival"], last)
@@ -94,8 +104,10 @@ def admit(requests: DataFrame, schema: dict | str, last: DataFrame | None = None
     kept = new.select(F.col("stream_id").alias("_stream"), F.col("idempotency_key").alias("_idem"), F.col("arrival").alias("original"), "record_id", "sequence_number", "timestamp_unix_micros")
     same = (F.col("stream_id") == F.col("_stream")) & (F.col("idempotency_key") == F.col("_idem"))
     again = told.where("repeat").join(kept, [told["original"] == kept["original"], same], "left").drop(kept["original"]).drop("_stream", "_idem")
-    out = new.unionByName(again).withColumn("status", F.lit("OK"))
-    return out.drop("original").unionByName(bad.withColumns({"status": F.lit("VALIDATION_ERROR"), "repeat": F.lit(False)}), allowMissingColumns=True)
+    out = new.unionByName(again).withColumn("status", F.lit("OK")).drop("original")
+    if before is not None:
+        out = out.unionByName(before)
+    return out.unionByName(bad.withColumns({"status": F.lit("VALIDATION_ERROR"), "repeat": F.lit(False)}), allowMissingColumns=True)
 
 
 def record_id(stream: Column, sequence: Column) -> Column:
